@@ -38,8 +38,8 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
         ids, end, wide = chunk_ids(path), end_id.to_bytes(4, "little"), 4 * capacity
         for b in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = (ids.text(text) if text else b"") + end
+            for doc, got in zip(b.column(0).to_pylist(), ids.texts(b.column(1).to_pylist()), strict=True):
+                got += end
                 for k, at in enumerate(range(0, len(got), wide)):
                     part = got[at : at + wide]
                     for column, x in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
 import public_tokenizers
 
 WORD_BPE = "word_bpe_49k.json"
@@ -33,12 +34,15 @@ class Recent(dict):
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
+        self.put(key, out)
+        return out
+
+    def put(self, key: str, value) -> None:
         if len(key) < self.longest:
             if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
-            self[key] = out
-        return out
+            self[key] = value
 
 
 class ChunkIds:
@@ -47,12 +51,15 @@ class ChunkIds:
     #: Letters whose lower case, class and composition don't depend on their neighbours.
     plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.chunks = Recent(self.encoded, most), Recent(self.chunk, most)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
 
     def encoded(self, s: str) -> bytes:
         ids = self.tokenizer.encode(s, add_special_tokens=False).ids
@@ -64,8 +71,48 @@ class ChunkIds:
             return self.encoded(s)
         return self.words[m[0].lower()] + (self.words[s[m.end() :]] if m.end() < len(s) else b"")
 
-    def text(self, s: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, s.replace("\n", " ").split(" ")))
+    def learn(self, chunks: set[str], together: int = 200) -> None:
+        """Encodes the new plain words of chunks many at a time. Each is one word to the tokenizer,
+        so its ids end with the one id that ends a word."""
+        known, old = self.words, self.words.old
+        new = set()
+        for s in chunks:
+            m = self.plain.match(s)
+            if m and len(m[0]) < known.longest:
+                w = m[0].lower()
+                if w not in known:
+                    if w in old:
+                        known.put(w, old[w])
+                    else:
+                        new.add(w)
+        rest = list(new)
+        groups = [rest[i : i + together] for i in range(0, len(rest), together)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(group, (4 * ends).tolist(), strict=True):
+                    known.put(w, raw[at:end])
+                    at = end
+
+    @staticmethod
+    def lowered(t: str) -> str:
+        """In lower case, as the tokenizer makes it, where every letter has one lower form and no
+        special token can appear by it; else as it is."""
+        try:
+            t.encode("latin-1")
+        except UnicodeEncodeError:
+            return t
+        return t if "<|" in t else t.lower()
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; nothing for null and empty ones."""
+        parts = [self.lowered(t).replace("\n", " ").split(" ") if t else [] for t in texts]
+        known, old = self.chunks, self.chunks.old
+        self.learn({c for c in set().union(*parts) if c not in known and c not in old})
+        get = known.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
 
 _held: dict[str, ChunkIds] = {}
