@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -59,7 +60,6 @@ class PieceModel:
 
     def __init__(self, path: str, most: int = 200_000):
         import ahocorasick
-        import numpy as np
 
         with open(path, "rb") as f:
             model = list(_fields(f.read()))
@@ -89,10 +89,14 @@ class PieceModel:
         for p in self.whole:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
+        self.packed = {p: self._raw([i]) for p, i in self.whole.items()}
+        self.text_of = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.hidden else " ⁇ ".encode() if i == self.unknown else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
+        self.written, self.numbers = self._table(self.text_of), self._table([b"%d," % i for i in range(len(self.piece))])
+        #: A mark and letters that are pieces.
+        self.letters = re.compile(SPACE + "[" + "".join(p for p in self.id if len(p) == 1 and p.isalpha() and ord(p) < 1 << 9) + "]+")
         self.fits = Recent(self._fits, most)
         self.runs = Recent(self._run, most)
-        self.chunks = Recent(self._chunk, most)
-        self.plain = Recent(lambda key: self._plain(self.chunks[key]), most)
+        self.chunks = Recent(self._chunk, 2 * most)
 
     def merged(self, s: str) -> list[str]:
         """Merges of characters in the order of scores, leftmost first on ties."""
@@ -126,10 +130,8 @@ class PieceModel:
     def backtracked(self, s: str) -> list[str]:
         """Pieces of s, whose characters are all pieces."""
         longest: list[str] = [""] * len(s)
-        for end, p in self.automaton.iter(s):
-            at = end - len(p) + 1
-            if len(p) > len(longest[at]):
-                longest[at] = p
+        for end, p in self.automaton.iter(s):  # at each place, longer pieces end later
+            longest[end + 1 - len(p)] = p
         open_at, out, at, fits = (1 << len(s) + 1) - 1, [], 0, self.fits
         token: str | None = longest[0]
         while at < len(s):
@@ -145,58 +147,36 @@ class PieceModel:
                 at -= len(token)
         return out
 
-    def _run(self, s: str) -> tuple[int, ...]:
+    def _raw(self, ids) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def _run(self, s: str) -> bytes:
         """Ids of characters that may merge with each other."""
         if len(s) == 1:
             got = self.id.get(s)
             if got is not None:
-                return (got,)
-            return tuple(self.byte[x] for x in s.encode()) if self.byte else (self.unknown,)
+                return self._raw([got])
+            return self._raw([self.byte[x] for x in s.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown])
         if s.startswith(SPACE * 2) or "\n" in s:  # runs of marks have equal scores
-            return tuple(self.id[p] for p in self.merged(s))
-        return tuple(self.whole[p] for p in self.backtracked(s))
+            return self._raw([self.id[p] for p in self.merged(s)])
+        return b"".join([self.packed[p] for p in self.backtracked(s)])
 
-    def ids(self, chunk: str) -> list[int]:
-        """Ids of a chunk, with its space mark."""
-        out: list[int] = []
+    def _chunk(self, key: str) -> bytes:
+        """Ids of a chunk, given without its first space mark."""
+        chunk = SPACE + key.replace(" ", SPACE)
+        m = self.letters.match(chunk)
+        end = m.end() if m else 0
+        if end == len(chunk):
+            return self.runs[chunk]
+        if end == len(chunk) - 1 and end and chunk[-2:] not in self.side_by_side:
+            return self.runs[chunk[:-1]] + self.runs[chunk[-1]]
+        out = []
         start = 0
         for i in range(1, len(chunk) + 1):
             if i == len(chunk) or chunk[i - 1 : i + 1] not in self.side_by_side or chunk[i] not in self.id or chunk[i - 1] not in self.id:
-                out += self.runs[chunk[start:i]]
+                out.append(self.runs[chunk[start:i]])
                 start = i
-        return out
-
-    def _chunk(self, key: str) -> bytes:
-        return ",".join(map(str, self.ids(SPACE + key.replace(" ", SPACE)))).encode()
-
-    def _plain(self, ids: bytes) -> bytes:
-        """Text of ids as UTF-8; broken byte sequences give U+FFFD for each byte."""
-        out, raw = [], bytearray()
-
-        def flush() -> None:
-            at = 0
-            while at < len(raw):
-                for n in (1, 2, 3, 4):
-                    try:
-                        out.append(bytes(raw[at : at + n]).decode())
-                        at += n
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    out.append("�")
-                    at += 1
-            raw.clear()
-
-        for i in map(int, ids.split(b",") if ids else ()):
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            flush()
-            if i not in self.hidden:
-                out.append(" ⁇ " if i == self.unknown else self.piece[i].replace(SPACE, " "))
-        flush()
-        return "".join(out).encode()
+        return b"".join(out)
 
     _chunked = re.compile("[ ▁][ ▁]*[^ ▁]*")
 
@@ -206,21 +186,57 @@ class PieceModel:
             return [x[1:].replace(SPACE, " ") for x in self._chunked.findall(" " + text)]
         return text.split(" ")
 
-    def encode(self, text: str) -> bytes:
-        """Decimal ids joined by commas; nothing for an empty text."""
-        return b",".join(map(self.chunks.__getitem__, self.keys(text))) if text else b""
-
-    def decode(self, ids: bytes) -> bytes:
-        """UTF-8 of the text of ids: the space that stands for the beginning goes."""
-        out = self._plain(ids)
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text; none for an empty one."""
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, self.keys(text))) if text else b"", "<u4")
+
+    @staticmethod
+    def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([len(x) for x in parts], np.int64)
+        return np.cumsum(n) - n, n, np.frombuffer(b"".join(parts), np.uint8)
+
+    @staticmethod
+    def _strung(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> bytes:
+        """The ids' entries of a table in a row."""
+        at, n, body = table
+        n = n[ids]
+        end = np.cumsum(n)
+        return body[np.arange(end[-1] if len(end) else 0) + np.repeat(at[ids] - (end - n), n)].tobytes()
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by commas."""
+        return self._strung(self.numbers, ids)[:-1]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of the text of ids: the space that stands for the beginning goes, and bytes that
+        make no character give U+FFFD each."""
+        out = self._strung(self.written, ids)
+        try:
+            out.decode()
+        except UnicodeDecodeError:
+            out = self._mended(ids)
         return out[1:] if out.startswith(b" ") else out
 
-    def both(self, text: str) -> tuple[bytes, bytes]:
-        """encode() and decode() of it, chunk by chunk."""
-        if not text:
-            return b"", b""
-        keys = self.keys(text)
-        return b",".join(map(self.chunks.__getitem__, keys)), b"".join(map(self.plain.__getitem__, keys))[1:]
+    def _mended(self, ids: np.ndarray) -> bytes:
+        out, raw = [], bytearray()
+        for i in [*ids.tolist(), -1]:
+            if i in self.byte_of:
+                raw.append(self.byte_of[i])
+                continue
+            while raw:
+                for n in (1, 2, 3, 4):
+                    try:
+                        out.append(bytes(raw[:n]).decode().encode())
+                        del raw[:n]
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                else:
+                    out.append("\ufffd".encode())
+                    del raw[:1]
+            if i >= 0:
+                out.append(self.text_of[i])
+        return b"".join(out)
 
 
 _held: dict[str, PieceModel] = {}
@@ -245,12 +261,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
         for b in slices(batches):
             n, ids_hash, text_hash, ids, texts = [], [], [], [], []
             for text in b.column(1).to_pylist():
-                got, plain = model.both(text or "")
-                n.append(got.count(b",") + 1 if got else 0)
-                ids_hash.append(hashlib.sha256(got).hexdigest())
+                got = model.encode(text or "")
+                plain = model.decode(got)
+                n.append(len(got))
+                ids_hash.append(hashlib.sha256(model.decimal(got)).hexdigest())
                 text_hash.append(hashlib.sha256(plain).hexdigest())
                 if with_ids:
-                    ids.append([int(x) for x in got.split(b",")] if got else [])
+                    ids.append(got.tolist())
                     texts.append(plain.decode())
             arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
