@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, media, packing, pieces, quality, simhash, wordpiece
+from . import language, media, packing, pieces, quality, simhash, spans, vectors, wordpiece
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,10 +37,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_documents(spark, sf_dir))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.deduplicate(_documents(spark, sf_dir))
+    return out.select("doc_id", "text", F.size("__removed").alias("n_removed"), F.col("__removed").alias("removed"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_documents(spark, sf_dir))
 
