@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, packing, pieces, quality, simhash, spans, vectors, wordpiece
+from . import language, media, packing, pieces, quality, secrets, simhash, spans, vectors, wordpiece
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spans.deduplicate(_documents(spark, sf_dir))
     return out.select("doc_id", "text", F.size("__removed").alias("n_removed"), F.col("__removed").alias("removed"))

@@ -186,3 +186,14 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
+
+
+def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
+    """Rows of `docs` that stay: one of each component, with its smallest doc_id. All columns as they
+    are. Of several rows with that doc_id and equal texts one stays; rows without doc_id stay.
+    """
+    kept = near_duplicates(docs.where("doc_id is not null"), width).where("kept").select(F.col("doc_id").alias("__doc")).distinct()
+    mine = docs.join(kept, docs["doc_id"] == F.col("__doc"), "left").where("__doc is not null or doc_id is null").drop("__doc")
+    once = [c for c in ("doc_id", "text") if c in docs.columns]
+    whole = mine.where("doc_id is null")
+    return mine.where("doc_id is not null").dropDuplicates(once).unionByName(whole)
