@@ -98,7 +98,7 @@ def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     """
     own = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     found = written(map_batches(own, _occurrences(run), "doc long, place int, key long"))
-    many = found.groupBy("key").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last")).where("first != last").select("key", "first")
+    many = written(found.groupBy("key").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last")).where("first != last").select("key", "first"))
     later = found.join(many, "key").where(F.struct("doc", "place") != F.col("first"))
     return later.groupBy("doc").agg(F.collect_list(F.struct("place", "key")).alias("hits"))
 
