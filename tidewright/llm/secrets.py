@@ -209,13 +209,21 @@ def kind(match: Column) -> Column:
     return out
 
 
+def _computed(docs: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """docs with columns that are computed once: an optimizer that writes them into each place that
+    uses them would split a text again for each of its candidates."""
+    names = list(columns)
+    made = docs.select(*(F.col(f"`{c}`") for c in keep), F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("__computed"))
+    return made.select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"__computed.{k}").alias(k) for k in names))
+
+
 def scored(docs: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
-    """Columns `keep` of the rows of `docs` whose text has candidates, with __parts (the text between
-    them), __found (the candidates) and __score of each."""
-    text = F.col("text")
-    out = docs.where(text.rlike(CANDIDATE)).select(*(F.col(f"`{c}`") for c in keep), F.split(text, CANDIDATE, -1).alias("__parts"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("__found"))
+    """Columns `keep` of `docs` (with text), and arrays: __parts (the text between candidates),
+    __found (candidates) and __score of each; null where a text has no candidate."""
+    has, text = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False)), F.col("text")
+    out = _computed(docs, keep, __parts=F.when(has, F.split(text, CANDIDATE, -1)), __found=F.when(has, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))))
     each = F.transform("__found", lambda m, i: features(m, F.get("__parts", i), F.get("__parts", i + 1)))
-    return out.withColumn("__score", F.transform(each, forest.score))
+    return _computed(out, [*keep, "__parts", "__found"], __score=F.transform(each, forest.score))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, forest: Forest | None = None) -> DataFrame:
@@ -226,16 +234,18 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, forest: Forest | None =
     and empty texts have no findings; repeated rows have theirs each; rows without doc_id keep a
     null one. Other columns are not looked at.
     """
-    own = scored(docs.select("doc_id", "text"), forest or trained(docs), ["doc_id"])
+    own = scored(docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE)), forest or trained(docs), ["doc_id"])
+    own = own.where(F.exists("__score", lambda s: s >= threshold))
     sizes = F.transform("__parts", lambda p, i: F.length(p) + F.coalesce(F.length(F.get("__found", i)), F.lit(0)))
     # running sums over blocks of sizes: each candidate ends where the sizes up to it add up
     size, total = 256, lambda a: F.aggregate(a, F.lit(0), lambda s, n: s + n)
-    own = own.withColumn("__sizes", sizes)
+    own = _computed(own, ["doc_id", "__found", "__score"], __sizes=sizes)
     last = F.floor((F.size("__sizes") - 1) / size).cast("int")
-    own = own.withColumn("__blocks", F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice("__sizes", b * size + 1, F.lit(size)))))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice("__sizes", b * size + 1, F.lit(size))))
+    own = _computed(own, ["doc_id", "__found", "__score", "__sizes"], __blocks=blocks)
     ends = F.transform("__sizes", lambda x, i: total(F.slice("__blocks", F.lit(1), F.floor(i / size).cast("int"))) + total(F.slice("__sizes", i - i % size + 1, i % size + 1)))
-    rows = own.where(F.exists("__score", lambda s: s >= threshold)).withColumn("__ends", ends)
-    rows = rows.select("doc_id", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("__found") - 1).alias("finding"), F.col("__found").alias("match"), F.col("__score").alias("score"), F.slice("__ends", F.lit(1), F.size("__found")).alias("end"))).alias("x"))
+    own = _computed(own, ["doc_id", "__found", "__score"], __ends=ends)
+    rows = own.select("doc_id", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("__found") - 1).alias("finding"), F.col("__found").alias("match"), F.col("__score").alias("score"), F.slice("__ends", F.lit(1), F.size("__found")).alias("end"))).alias("x"))
     rows = rows.where(F.col("x.score") >= threshold)
     value = F.regexp_replace("x.match", VALUE, "")
     return rows.select(
@@ -252,19 +262,12 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, forest: Forest | None =
 def redact(docs: DataFrame, threshold: float = THRESHOLD, forest: Forest | None = None) -> DataFrame:
     """`docs` with each secret in text replaced by [secret]; all rows and columns stay, and rows
     without secrets are as they were. Null texts stay null."""
-    forest = forest or trained(docs)
-    text = F.col("text")
-    has = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
-    parts = F.when(has, F.split(text, CANDIDATE, -1))
-    found = F.when(has, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    out = docs.withColumns({"__parts": parts, "__found": found})
-    each = F.transform("__found", lambda m, i: features(m, F.get("__parts", i), F.get("__parts", i + 1)))
-    out = out.withColumn("__score", F.when(F.col("__found").isNotNull(), F.transform(each, forest.score)))
+    out, text = scored(docs, forest or trained(docs), docs.columns), F.col("text")
 
     def clean(p: Column, i: Column) -> Column:
         m = F.get("__found", i)
         named = F.regexp_extract(m, VALUE, 0)
         return F.concat(p, F.coalesce(F.when(F.get("__score", i) >= threshold, F.concat(named, F.lit("[secret]"))).otherwise(m), F.lit("")))
 
-    new = F.when(F.exists("__score", lambda s: s >= threshold), F.array_join(F.transform("__parts", clean), "")).otherwise(text)
+    new = F.when(F.coalesce(F.exists("__score", lambda s: s >= threshold), F.lit(False)), F.array_join(F.transform("__parts", clean), "")).otherwise(text)
     return out.withColumn("text", new).select(*(F.col(f"`{c}`") for c in docs.columns))
