@@ -74,16 +74,17 @@ class ChunkIds:
     def learn(self, chunks: set[str], together: int = 200) -> None:
         """Encodes the new plain words of chunks many at a time. Each is one word to the tokenizer,
         so its ids end with the one id that ends a word."""
-        known, old = self.words, self.words.old
-        new = set()
+        known, old, match = self.words, self.words.old, self.plain.match
+        found, new = [], set()
         for s in chunks:
-            m = self.plain.match(s)
-            if m and len(m[0]) < known.longest:
+            m = match(s)
+            if m and s[m.end() :] in ("", ".", ","):
                 w = m[0].lower()
+                found.append((s, w, s[m.end() :]))
                 if w not in known:
                     if w in old:
                         known.put(w, old[w])
-                    else:
+                    elif len(w) < known.longest:
                         new.add(w)
         rest = list(new)
         groups = [rest[i : i + together] for i in range(0, len(rest), together)]
@@ -95,6 +96,9 @@ class ChunkIds:
                 for w, end in zip(group, (4 * ends).tolist(), strict=True):
                     known.put(w, raw[at:end])
                     at = end
+        marks = {"": b"", ".": known["."], ",": known[","]}
+        for s, w, mark in found:
+            self.chunks.put(s, known[w] + marks[mark])
 
     @staticmethod
     def lowered(t: str) -> str:
