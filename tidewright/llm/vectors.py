@@ -116,12 +116,24 @@ def fit(sample: np.ndarray, count: int, threshold: float, target: float = TARGET
 def unit_vectors(table: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(id, unit): each row scaled to length 1; null where it is null, empty, zero or holds a null
     or non-finite component."""
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)  # null components become NaN
+            size = np.where(b.column(1).is_valid(), b.column(1).value_lengths().fill_null(0), 0).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), size)
+            top = np.zeros(b.num_rows)
+            np.maximum.at(top, row, np.abs(flat))  # NaN stays
+            fine = np.isfinite(top) & (top > 0)
+            scaled = flat[fine[row]] / top[row][fine[row]]
+            norm = np.sqrt(np.bincount(row[fine[row]], scaled * scaled, b.num_rows))
+            unit = scaled / norm[row[fine[row]]]
+            offsets = np.concatenate([[0], np.cumsum(np.where(fine, size, 0))]).astype(np.int32)
+            units = pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit), mask=pa.array(~fine))
+            yield pa.RecordBatch.from_arrays([b.column(0), units], ["id", "unit"])
+
     x = F.col(vector).cast("array<double>")
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    top = F.array_max(F.transform(x, F.abs))
-    scaled = F.transform(x, lambda v: v / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v * v))
-    return table.select(F.col(key).alias("id"), F.when(fine & (top > 0), F.transform(scaled, lambda v: v / norm)).alias("unit"))
+    return map_batches(table.select(F.col(key).cast("long").alias("id"), x.alias("x")), run, "id long, unit array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
