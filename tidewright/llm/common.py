@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,11 +81,20 @@ def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) ->
     return df.mapInArrow(fn, schema)
 
 
-def slices(batches: Batches, rows: int = 1000) -> Batches:
-    """Smaller batches, so that one batch of very long texts is not held as Python strings at once."""
+def slices(batches: Batches, rows: int = 1000, column: int = 1, most_bytes: int = 8 << 20) -> Batches:
+    """Smaller batches: of `rows` rows at most, and of most_bytes of text in a column, or one row."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        ends = None
+        if column < b.num_columns and pa.types.is_string(b.schema.types[column]):
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = min(b.num_rows, at + rows)
+            if ends is not None:
+                before = ends[at - 1] if at else 0
+                end = max(at + 1, min(end, int(np.searchsorted(ends, before + most_bytes, "right"))))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def partitions(spark: SparkSession) -> int:

@@ -119,7 +119,7 @@ def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, landma
 
     def sums(batches: Batches) -> Batches:
         total = np.zeros((m, m + k))
-        for b in slices(batches, 256):
+        for b in slices(batches, 256, 0):
             x = shared.value.kernel(b.column(0).to_pylist())
             y = np.full((len(x), k), -1.0)
             y[np.arange(len(x)), [at[v] for v in b.column(1).to_pylist()]] = 1
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Batches) -> Batches:
-        for b in slices(batches, 256):
+        for b in slices(batches, 256, at):
             lang, score = shared.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, "__lang_pred", "__score"])
 

@@ -36,7 +36,7 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
 
     def run(batches: Batches) -> Batches:
         ids, end, wide = chunk_ids(path), end_id.to_bytes(4, "little"), 4 * capacity
-        for b in slices(batches):
+        for b in slices(batches, 4000):
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, got in zip(b.column(0).to_pylist(), ids.texts(b.column(1).to_pylist()), strict=True):
                 got += end

@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, calibrate: Column, sa
     known = written(known)  # `sample` rows at most
 
     def stats(batches: Batches) -> Batches:
-        for b in slices(batches, 256):
+        for b in slices(batches, 256, 0):
             x = [statistics(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1), b.column(2)], ["x", "y", "later"])
 

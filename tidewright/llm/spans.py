@@ -116,7 +116,7 @@ def deduplicate(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS)
     at = names.index("text")
 
     def f(batches: Batches) -> Batches:
-        for b in slices(batches):
+        for b in slices(batches, 1000, at):
             texts, gone = b.column(at), [[] for _ in range(b.num_rows)]
             hits = b.column(len(names))
             if hits.null_count < b.num_rows:

@@ -1,7 +1,7 @@
 """Token ids of whole texts from a public tokenizer file.
 
 A text is cut at spaces and line feeds, which the tokenizer drops, so its ids are its chunks'
-ids in a row. Each worker keeps the ids of chunks that it has seen, as bytes.
+ids in a row. Each worker keeps the ids of words that it has seen.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -46,59 +48,62 @@ class Recent(dict):
 
 
 class ChunkIds:
-    """Chunk -> ids as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    The chunks of many texts are numbered by Arrow, so that each distinct one is looked up once;
+    its ids are then laid out in the texts' order by numpy.
+    """
 
     #: Letters whose lower case, class and composition don't depend on their neighbours.
     plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.chunks = Recent(self.encoded, most), Recent(self.chunk, most)
+        self.words, self.others = Recent(self.encoded, most), Recent(self.encoded, most // 10)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
+        self.marks = {x: self.encoded(x) for x in ("", ".", ",")}
 
     def encoded(self, s: str) -> bytes:
-        ids = self.tokenizer.encode(s, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
-
-    def chunk(self, s: str) -> bytes:
-        m = self.plain.match(s)
-        if not m or s[m.end() :] not in ("", ".", ","):
-            return self.encoded(s)
-        return self.words[m[0].lower()] + (self.words[s[m.end() :]] if m.end() < len(s) else b"")
-
-    def learn(self, chunks: set[str], together: int = 200) -> None:
-        """Encodes the new plain words of chunks many at a time. Each is one word to the tokenizer,
-        so its ids end with the one id that ends a word."""
-        known, old, match = self.words, self.words.old, self.plain.match
-        found, new = [], set()
-        for s in chunks:
-            m = match(s)
-            if m and s[m.end() :] in ("", ".", ","):
-                w = m[0].lower()
-                found.append((s, w, s[m.end() :]))
-                if w not in known:
-                    if w in old:
-                        known.put(w, old[w])
-                    elif len(w) < known.longest:
-                        new.add(w)
-        rest = list(new)
-        groups = [rest[i : i + together] for i in range(0, len(rest), together)]
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str], together: int = 200) -> None:
+        """Encodes new plain words in lower case many at a time. Each is one word to the tokenizer, so
+        its ids end with the one id that ends a word."""
+        groups = [words[i : i + together] for i in range(0, len(words), together)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(group):
                 raw, at = ids.tobytes(), 0
                 for w, end in zip(group, (4 * ends).tolist(), strict=True):
-                    known.put(w, raw[at:end])
+                    self.words.put(w, raw[at:end])
                     at = end
-        marks = {"": b"", ".": known["."], ",": known[","]}
-        for s, w, mark in found:
-            self.chunks.put(s, known[w] + marks[mark])
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks: plain words, with a full stop or comma or none, and others."""
+        match, marks, known, old = self.plain.match, self.marks, self.words, self.words.old
+        got = list(map(known.get, chunks))  # words as they stand
+        rest, new = [], set()
+        for i in [i for i, g in enumerate(got) if g is None]:
+            s = chunks[i]
+            m = match(s)
+            tail = s[m.end() :] if m else None
+            if tail not in marks or m.end() >= known.longest:
+                got[i] = self.others[s]
+                continue
+            w = m[0].lower()
+            rest.append((i, w, marks[tail]))
+            if w not in known and w not in old:
+                new.add(w)
+        self.learn(list(new))
+        for i, w, mark in rest:
+            got[i] = known[w] + mark
+        return got
 
     @staticmethod
     def lowered(t: str) -> str:
@@ -112,11 +117,19 @@ class ChunkIds:
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; nothing for null and empty ones."""
-        parts = [self.lowered(t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        known, old = self.chunks, self.chunks.old
-        self.learn({c for c in set().union(*parts) if c not in known and c not in old})
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        lines = pc.replace_substring(pa.array([self.lowered(t) if t else "" for t in texts], pa.string()), "\n", " ")
+        parts = pc.split_pattern(lines, " ")
+        numbered = parts.flatten().dictionary_encode()
+        got, which = self.chunks(numbered.dictionary.to_pylist()), numbered.indices.to_numpy()
+        n = np.fromiter(map(len, got), np.int32, len(got)) // 4
+        at, many = np.cumsum(n, dtype=np.int32) - n, n[which]
+        end = np.cumsum(many, dtype=np.int64)
+        total = int(end[-1]) if len(end) else 0
+        place = np.repeat(at[which] - (end - many).astype(np.int32), many)
+        place += np.arange(total, dtype=np.int32)
+        ids = np.frombuffer(b"".join(got), "<u4")[place].tobytes()
+        cuts = (4 * np.concatenate([[0], end])[parts.offsets.to_numpy()]).tolist()
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 _held: dict[str, ChunkIds] = {}
