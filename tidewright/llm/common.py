@@ -75,9 +75,17 @@ def written(df: DataFrame) -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
+#: Rows that go to a Python worker at once, at most: a thousand very long texts still fit its memory.
+ROWS = 1000
+
+
 def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """mapInArrow after shipping the package, so that workers can import fn."""
+    """mapInArrow after shipping the package, so that workers can import fn. Lowers the session's
+    rows an Arrow batch to ROWS where they are more."""
     ship(df.sparkSession)
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(most)) <= ROWS:
+        df.sparkSession.conf.set(most, str(ROWS))
     return df.mapInArrow(fn, schema)
 
 
@@ -97,6 +105,21 @@ def slices(batches: Batches, rows: int = 1000, column: int = 1, most_bytes: int
             at = end
 
 
+def gathered(batches: Batches, rows: int = 4000, column: int = 1, most_bytes: int = 8 << 20) -> Batches:
+    """Fewer, larger batches, within the limits of slices()."""
+    held: list[pa.RecordBatch] = []
+    size = count = 0
+    for b in slices(batches, rows, column, most_bytes):
+        n = b.column(column).nbytes
+        if held and (size + n > most_bytes or count + b.num_rows > rows):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size, count = [], 0, 0
+        held.append(b)
+        size, count = size + n, count + b.num_rows
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

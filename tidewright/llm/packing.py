@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, map_batches, partitions, slices, written
+from .common import Batches, gathered, map_batches, partitions, written
 from .tokens import chunk_ids, vocabulary
 
 CAPACITY, END_ID = 4096, 1
@@ -36,7 +36,7 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
 
     def run(batches: Batches) -> Batches:
         ids, end, wide = chunk_ids(path), end_id.to_bytes(4, "little"), 4 * capacity
-        for b in slices(batches, 4000):
+        for b in gathered(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, got in zip(b.column(0).to_pylist(), ids.texts(b.column(1).to_pylist()), strict=True):
                 got += end
