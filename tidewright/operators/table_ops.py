@@ -79,7 +79,8 @@ def resolve_by_majority(df: DataFrame, key: str, columns: list[str], min_group:
     summary = vote_summary(winners)
     allowed = winners.crossJoin(F.broadcast(summary.select((F.col("mean_minority") < MOST_MINORITY).alias("allowed")))).where("allowed")  # one row
     wide = allowed.groupBy("k").agg(*(F.max(F.when(F.col("column") == c, F.col("winner"))).alias(f"__w{i}") for i, c in enumerate(votable)))
-    joined = df.join(wide, F.col(f"`{key}`").cast("string") == F.col("k"), "left")
+    wide = wide.withColumnRenamed("k", "__k")
+    joined = df.join(wide, F.col(f"`{key}`").cast("string") == F.col("__k"), "left")
     out = []
     for c in df.columns:
         cell = F.col(f"`{c}`")
@@ -116,9 +117,9 @@ def entity_groups(df: DataFrame, min_group: int = MIN_GROUP, min_groups: int = 2
         others = [c for c in text if c != key]
         if not others:
             continue
-        groups = df.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("k")).agg(F.count(F.lit(1)).alias("size"), F.min("_rid").alias("first"))
-        groups = groups.where(F.col("size") >= min_group).orderBy("first").limit(looked).select("k")
-        rows = df.join(F.broadcast(groups), F.col(f"`{key}`") == F.col("k"), "left_semi")
+        groups = df.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__k")).agg(F.count(F.lit(1)).alias("size"), F.min("_rid").alias("first"))
+        groups = groups.where(F.col("size") >= min_group).orderBy("first").limit(looked).select("__k")
+        rows = df.join(F.broadcast(groups), F.col(f"`{key}`") == F.col("__k"), "left_semi")
         checked = groups.count()
         won = _winners(rows, key, others, min_group, MIN_SHARE).groupBy("column").agg((F.count(F.lit(1)) / F.lit(max(1, checked))).alias("share"), F.count_distinct("winner").alias("winners"))
         votable = {r["column"] for r in won.where((F.col("share") >= min_disagree) & (F.col("winners") >= 2)).collect()}
