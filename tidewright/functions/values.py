@@ -89,10 +89,11 @@ def to_double(s: Column) -> Column:
     return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 
-def parse_currency(c: Column) -> Column:
+def parse_currency(c: Column, stripped: Column | None = None) -> Column:
     """Number of a money text: brackets are negative, of two separators the later is the decimal
-    one, and a lone comma is decimal only before two last digits."""
-    raw = strip(c)
+    one, and a lone comma is decimal only before two last digits. Give the stripped cell where it
+    is a column already: it is used many times."""
+    raw = strip(c) if stripped is None else stripped
     minus = raw.startswith("(") & raw.endswith(")")
     s = strip(F.regexp_replace(F.regexp_replace(raw, r"^[()]+|[()]+$", ""), "[$£€]", ""))
     last = lambda x: F.locate(x, F.reverse(s))  # noqa: E731  1 is the last character
@@ -129,18 +130,26 @@ def parse_percent_mixed(c: Column) -> Column:
     return or_null(c, F.when(strip(c).endswith("%"), python_double(parse_percent(c))).otherwise(c))
 
 
-def parse_date(c: Column) -> Column:
+def date_fields(s: Column) -> Column:
+    """The three numbers of a stripped date with slashes or dashes that has the year last."""
+    return F.when(s.rlike(r"^\d{1,2}[/\-]\d{1,2}[/\-](?:\d{2}|\d{4})$"), F.transform(F.split(F.translate(s, "-", "/"), "/"), lambda x: x.try_cast("int")))
+
+
+def parse_date(c: Column, stripped: Column | None = None, fields: Column | None = None) -> Column:
     """ISO date text: four or five digits are a spreadsheet's day number; a first field over 12 is a
-    day, else a month, with the other order if that gives no date; then the formats above."""
-    s = strip(c)
+    day, else a month, with the other order if that gives no date; then the formats above. Give the
+    stripped cell and its date_fields where they are columns already: they are used many times."""
+    s = strip(c) if stripped is None else stripped
+    f = date_fields(s) if fields is None else fields
+    a, b, y = F.get(f, 0), F.get(f, 1), F.get(f, 2)
+    year = F.when(y < 69, y + 2000).when(y < 100, y + 1900).otherwise(y)
+    made = lambda m, d: F.to_date(F.try_to_timestamp(F.concat_ws("-", F.lpad(text(year), 4, "0"), text(m), text(d)), F.lit("yyyy-M-d")))
+    swap = a > 12
+    slashed = F.when(f.isNotNull(), F.coalesce(made(F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)), made(F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a))))
     serial = F.date_add(F.lit("1899-12-30").cast("date"), F.when(s.rlike(r"^\d{4,5}$"), s.try_cast("int")))
-    part = lambda i: F.regexp_extract(s, r"^(\d{1,2})[/\-](\d{1,2})[/\-](\d{2}|\d{4})$", i).try_cast("int")
-    short = F.when(part(3) < 69, part(3) + 2000).when(part(3) < 100, part(3) + 1900).otherwise(part(3))
-    made = lambda m, d: F.when(part(1).isNotNull(), F.to_date(F.try_to_timestamp(F.concat_ws("-", F.lpad(text(short), 4, "0"), text(m), text(d)), F.lit("yyyy-M-d"))))
-    day_first, month_first = made(part(2), part(1)), made(part(1), part(2))
-    slashed = F.when(part(1) > 12, F.coalesce(day_first, month_first)).otherwise(F.coalesce(month_first, day_first))
-    named = [F.to_date(F.try_to_timestamp(F.when(s.rlike(r"\d{4}"), s), F.lit(f))) for f in DATE_FORMATS]
-    return or_null(c, F.date_format(F.coalesce(serial, slashed, *named), "yyyy-MM-dd"))
+    named = [F.to_date(F.try_to_timestamp(s, F.lit(k))) for k in DATE_FORMATS]
+    words = F.when(s.rlike(r"\d{4}"), F.coalesce(*named))
+    return or_null(c, F.date_format(F.coalesce(serial, slashed, words), "yyyy-MM-dd"))
 
 
 def standardize_boolean(c: Column) -> Column:
@@ -201,12 +210,16 @@ def phone_shape(c: Column) -> Column:
     return F.regexp_replace(strip(c), r"(?U)\d", "D")
 
 
-def country_key(c: Column) -> Column:
-    t = token(c)
+def country_of(t: Column) -> Column:
+    """The country that a stripped text in lower case names, or the text."""
     pairs = F.create_map(*(F.lit(x) for kv in COUNTRIES.items() for x in kv))
     return F.coalesce(F.try_element_at(pairs, t), t)
 
 
+def country_key(c: Column) -> Column:
+    return country_of(token(c))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

@@ -71,9 +71,9 @@ def looks_like_date(s: Column) -> Column:
 
 def column_stats(freq: DataFrame) -> DataFrame:
     """A row of counts, shares and signs for each column."""
-    raw, n = F.col("raw"), F.col("n")
-    held = ~v.is_missing(raw)
-    s, t = v.strip(raw), v.token(raw)
+    freq = freq.select("ord", "column", "raw", "n", v.strip(F.col("raw")).alias("s")).withColumn("t", F.lower("s"))
+    freq = freq.withColumn("held", F.coalesce(~F.col("t").isin(*v.NULLS), F.lit(False)))
+    raw, n, held, s, t = (F.col(k) for k in ("raw", "n", "held", "s", "t"))
     share = lambda p: F.coalesce(F.sum(F.when(held & F.coalesce(p, F.lit(False)), n)), F.lit(0)) / F.sum(F.when(held, n))
     some = lambda p: F.coalesce(F.bool_or(F.coalesce(p, F.lit(False))), F.lit(False))
     digits = F.length(v.digits(s))
@@ -95,8 +95,8 @@ def column_stats(freq: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(~held, n)), F.lit(0)).alias("n_missing"),
         F.count_distinct(F.when(held, s)).alias("n_unique"),
         F.count_distinct(F.when(held, t)).alias("n_tokens"),
-        F.count_distinct(F.when(held, v.phone_shape(raw))).alias("phone_shapes"),
-        F.count_distinct(F.when(held, v.country_key(raw))).alias("n_canonical"),
+        F.count_distinct(F.when(held, F.regexp_replace(s, r"(?U)\d", "D"))).alias("phone_shapes"),
+        F.count_distinct(F.when(held, v.country_of(t))).alias("n_canonical"),
         *(share(p).alias(f"share_{k}") for k, p in flags.items()),
         some(held & ((raw != s) | F.contains(raw, F.lit("  ")))).alias("has_whitespace"),
         some(held & raw.rlike("[" + "".join(v.PLAIN) + v.GONE + v.ELLIPSIS + "]")).alias("has_punctuation"),

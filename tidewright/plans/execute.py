@@ -136,6 +136,11 @@ def _step(df: DataFrame, op: dict, old: str, new: str) -> DataFrame:
         table = df.sparkSession.createDataFrame(list(mapping.items()), "__raw string, __new string")
         out = df.withColumn("__key", F.when(~v.is_missing(cell), v.strip(cell))).join(table, F.col("__key") == F.col("__raw"), "left")
         return out.withColumn(new, F.coalesce("__new", cell)).drop("__key", "__raw", "__new")
+    if op["op"] == "parse_date":  # what is used many times is a column of its own, and so is computed once
+        wide = df.withColumn("__stripped", v.strip(cell)).withColumn("__fields", v.date_fields(F.col("__stripped")))
+        return wide.withColumn(new, v.parse_date(cell, F.col("__stripped"), F.col("__fields"))).drop("__stripped", "__fields")
+    if op["op"] in ("parse_currency", "parse_number"):
+        return df.withColumn("__stripped", v.strip(cell)).withColumn(new, v.parse_currency(cell, F.col("__stripped"))).drop("__stripped")
     return df.withColumn(new, cell_expression(op, cell))
 
 
