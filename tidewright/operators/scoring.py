@@ -316,13 +316,6 @@ def random_edits(df: DataFrame, share: float, seed: int) -> DataFrame:
     return both.select("_rid", *out)
 
 
-def stratified(rows: DataFrame, error: Column, every: int) -> DataFrame:
-    """All rows with an error and every k-th of the others, in the order of their ids."""
-    marked = rows.withColumn("__e", error)
-    slot = F.pmod(F.xxhash64("_rid"), F.lit(every)) == 0
-    return marked.where(F.col("__e") | slot).drop("__e")
-
-
 def modal_surfaces(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, canonical, aliases): the most frequent surface of each entity, and its other spellings."""
     n = rows.where(~v.is_missing(F.col(value))).groupBy(key, v.strip(F.col(value)).alias("s")).agg(F.count(F.lit(1)).alias("n"))

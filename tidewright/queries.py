@@ -15,7 +15,7 @@ from .functions import pii
 from .functions import values as v
 from .functions.python_only import repaired_udf
 from .operators import canon, profile, reference, scoring, table_ops
-from .plans import execute, ir, planner
+from .plans import evidence, execute, ir, planner
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -598,3 +598,37 @@ def variant_fixes(spark, sf_dir):
 def entity_vocabulary(spark, sf_dir):
     got = scoring.modal_surfaces(table(spark, sf_dir, "customer", "c_nationkey", f"{CASED_SPARK} AS segment"), "c_nationkey", "segment")
     return got.select("c_nationkey", "canonical", F.array_join("aliases", "|").alias("aliases"))
+
+
+# Evidence.
+
+
+@query()
+def paired_plan(spark, sf_dir):
+    clean = table(spark, sf_dir, "customer", "c_custkey AS _rid", "c_mktsegment AS segment")
+    return _plan_rows(spark, evidence.paired_plan(scoring.inject(clean, "typo", 7, 0.1, ["segment"]), clean))
+
+
+@query()
+def unpaired_plan(spark, sf_dir):
+    return _plan_rows(spark, evidence.unpaired(table(spark, sf_dir, "orders", "o_orderkey AS _rid", f"{RARE} AS priority")))
+
+
+@query("SELECT s_suppkey AS _rid, s_name AS label FROM supplier")
+def matched_records(spark, sf_dir):
+    a = table(spark, sf_dir, "supplier", "s_suppkey AS id", "s_name AS label")
+    b = table(spark, sf_dir, "supplier", "s_suppkey + 1000000 AS id", "upper(s_name) AS label")
+    matches = table(spark, sf_dir, "supplier", "s_suppkey AS a_id", "s_suppkey + 1000000 AS b_id")
+    return evidence.matched_pairs(a, b, matches, "id")[1]
+
+
+@query()
+def embedded_alerts(spark, sf_dir):
+    return evidence.embedded_alerts(table(spark, sf_dir, "documents", "doc_id AS _rid", "text", "source"), {"columns": []})
+
+
+@query(f"WITH t AS ({TRIPLE}), g AS (SELECT o_orderkey, d <> g AS wrong, row_number() OVER (PARTITION BY d <> g ORDER BY o_orderkey) - 1 AS place FROM t) SELECT o_orderkey AS _rid FROM g WHERE wrong OR place % 10 = 0")
+def stratified_rows(spark, sf_dir):
+    dirty, clean, _ = triple(spark, sf_dir)
+    both = dirty.withColumnRenamed("priority", "d").join(clean.withColumnRenamed("priority", "g"), "_rid")
+    return evidence.every_kth(both, F.col("d") != F.col("g"), 10).select("_rid")
