@@ -124,6 +124,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def thinned(rows: DataFrame, key, count, wanted: int, spare: int = 8):
+    """Rows whose hash of `key` lies in a share that holds about `spare` times the rows wanted of
+    `count`; all of them where there are few. What is left for a sort or rank is bounded, however many
+    partitions the rows come from."""
+    share = F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(share * count < spare * wanted)
+
+
 def bucket_of(doc_id, mod: int):
     """crc32 of the id as text, modulo mod: the folds of the contracts."""
     return F.crc32(doc_id.cast("string").cast("binary")) % mod

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bucket_of, map_batches, slices, written
+from .common import Batches, bucket_of, map_batches, slices, thinned, written
 
 #: Labelled rows learned from at most; random features.
 SAMPLE, FEATURES = 20_000, 256
@@ -115,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, calibrate: Column, sa
     of least hash; nothing to learn from gives a model that scores 0.5."""
     spark = docs.sparkSession
     known = labels.where(train & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = thinned(known, F.col("doc_id"), F.lit(known.count()), sample)
     known = known.select("doc_id", F.col("quality").cast("double").alias("y"), calibrate.alias("later")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     known = written(known)  # `sample` rows at most
 

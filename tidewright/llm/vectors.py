@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, Written, map_batches, partitions, written
+from .common import Batches, Written, map_batches, partitions, thinned
 from .components import connected_components, forest
 
 #: Distinct vectors that codebooks are fitted on at most; vectors of a cell; found share of pairs
@@ -160,7 +160,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, target: floa
     if not width:
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     count, classes = width["c"], classes.where(F.col("width") == width["width"])
-    sample = np.array([r[0] for r in classes.orderBy(F.xxhash64("first")).limit(SAMPLE).select("unit").collect()])
+    sample = np.array([r[0] for r in thinned(classes, F.col("first"), F.lit(count), SAMPLE).orderBy(F.xxhash64("first")).limit(SAMPLE).select("unit").collect()])
     shared = spark.sparkContext.broadcast(fit(sample, count, threshold, target))
 
     def placed(batches: Batches) -> Batches:
