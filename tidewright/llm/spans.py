@@ -79,13 +79,17 @@ def removed(c: Cut, starts: np.ndarray, run: int = RUN, least_words: int = LEAST
 def _occurrences(run: int):
     def f(batches: Batches) -> Batches:
         for b in slices(batches):
-            docs, places, keys = [], [], []
+            docs, places, keys, again = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = runs(cut(text), run)
                 docs.append(np.full(len(h), doc))
                 places.append(np.arange(len(h), dtype=np.int32))
                 keys.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, places, keys)] if docs else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64())], ["doc", "place", "key"])
+                more = np.ones(len(h), bool)
+                more[np.unique(h, return_index=True)[1]] = False
+                again.append(more)
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, places, keys, again)], ["doc", "place", "key", "again"])
 
     return f
 
@@ -93,13 +97,15 @@ def _occurrences(run: int):
 def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     """(doc, hits) of documents with runs that stand before: hits are (place, key).
 
-    What stands before is ordered by doc_id, then place. Rows of equal doc_id and text are one
-    document; rows without doc_id or text take no part.
+    What stands before is ordered by doc_id, then place. Rows of equal doc_id are one document; rows
+    without doc_id or text take no part. Repeats inside a document are marked where it is read, so
+    that joining documents takes sums of plain numbers only.
     """
     own = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    found = written(map_batches(own, _occurrences(run), "doc long, place int, key long"))
-    many = written(found.groupBy("key").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last")).where("first != last").select("key", "first"))
-    later = found.join(many, "key").where(F.struct("doc", "place") != F.col("first"))
+    found = written(map_batches(own, _occurrences(run), "doc long, place int, key long, again boolean"))
+    many = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("more"))
+    many = written(many.where("first != last or more").select("key", "first"))
+    later = found.join(many, "key").where(F.col("again") | (F.col("doc") != F.col("first")))
     return later.groupBy("doc").agg(F.collect_list(F.struct("place", "key")).alias("hits"))
 
 
