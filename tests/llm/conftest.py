@@ -16,7 +16,7 @@ def edge_docs(spark):
         (5, long, "en"),
         (6, long + "Ende.", "en"),
         (None, "no id here, only words", "fr"),
-        (7, "12345 !!! ???", "fr"),
+        (7, "12345 ½ ² !!! ???", "fr"),
         (8, "x" * 50_000, None),
         (9, "日本語のテキスト 😀 é", "ja"),
         (10, "a▁b  c\u0000d", None),

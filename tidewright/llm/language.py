@@ -24,6 +24,10 @@ UNDETERMINED = "und"
 _letter = re.compile(r"[^\W\d_]")
 
 
+def has_letter(t: str) -> bool:
+    return any(m[0].isalpha() for m in _letter.finditer(t))  # fractions and the like match too
+
+
 @dataclass
 class Alphabet:
     """Code units -> small numbers: 0 for what is no letter, the last for letters not in `letters`."""
@@ -73,7 +77,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score from 0 to 1; `und` and 0 for null and for texts without a letter."""
         names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        at = [i for i, t in enumerate(texts) if t and _letter.search(t)]
+        at = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if at and self.languages:
             f = self.kernel([texts[i] for i in at]) @ self.weights
             p = np.exp(8 * (f - f.max(1, keepdims=True)))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: public formats of credentials and words that name them
-KEY_WORDS = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth[_-]?key|credential|bearer"
+KEY_WORDS = "(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth[_-]?key|credential|bearer)"
 FORMATS = {
     "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
     "aws_access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
