@@ -129,7 +129,7 @@ def test_forest_in_columns_is_the_forest(spark, edge_docs):
 
 
 def test_secrets_are_found_and_redacted(spark):
-    key, token, word = "AKIA" + "Q7RTZ2LMN4PXW8VK", "3f" * 20, "x7Gq9!kLm2Zt"
+    key, token, word = "AKIA" + "QXRTZVLMNFPXWHVK", "3f" * 20, "x7Gq9!kLm2Zt"
     text = f"Deploy with {key} now. token = \"{token}\" and password={word} end; commit {'0a1b' * 10} is fine, card 4111111111111111 too."
     docs = spark.createDataFrame([(1, text, "a"), (2, "nothing here", None)], "doc_id long, text string, source string")
     loud = secrets.scan(spark.createDataFrame([(1, f"NOW PASSWORD={token[:18].upper()}!! END")], "doc_id long, text string")).collect()

@@ -39,6 +39,7 @@ CANDIDATE = (
     "|".join([FORMATS["private_key"]])
     + rf"|(?:{KEY_WORDS})[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?[^\s\"'<>,;]{{6,512}}"
     + r"|" + FORMATS["jwt"]
+    + r"|(?<![A-Za-z0-9])(?:" + "|".join(FORMATS[k] for k in ("aws_access_key", "github_token", "slack_token", "google_api_key")) + ")(?![A-Za-z0-9])"
     + r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,4096}={0,2}"
 )
 VALUE = rf"^(?:(?:{KEY_WORDS})[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?)"
