@@ -20,6 +20,8 @@ from .common import Batches, bucket_of, map_batches, slices, thinned, written
 
 #: Training rows and landmarks of a language at most; distinct letters told apart.
 PER_LANGUAGE, LANDMARKS, LETTERS = 1000, 24, 62
+#: Languages whose rows are thinned before they are ranked.
+LARGE = 1000
 UNDETERMINED = "und"
 _letter = re.compile(r"[^\W\d_]")
 
@@ -105,8 +107,10 @@ def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, landma
     that holds eight times as many; no such rows: a model that knows no language."""
     spark = docs.sparkSession
     labelled = docs.where(train & F.col("lang").isNotNull())
-    sizes = labelled.groupBy(F.col("lang").alias("__lang")).agg(F.count(F.lit(1)).alias("__size"))  # as many rows as languages
-    few = thinned(labelled.join(sizes, F.col("lang") == F.col("__lang")), F.col("doc_id"), F.col("__size"), per_language)
+    sizes = labelled.groupBy(F.col("lang").alias("__lang")).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > 8 * per_language)
+    large = F.broadcast(sizes.orderBy(F.desc("__size"), "__lang").limit(LARGE))  # LARGE rows at most; other languages come whole
+    few = labelled.join(large, F.col("lang") == F.col("__lang"), "left")
+    few = thinned(few, F.col("doc_id"), F.coalesce("__size", F.lit(0)), per_language)
     usable = few.where(F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = usable.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).withColumn("n", rank).where(F.col("n") <= per_language).select("doc_id", "lang", "n")
