@@ -135,6 +135,42 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
         assert got[i] == text if i % 2 else passage not in got[i] and set(own[i].split()) <= set(got[i].split())
 
 
+def made(r, n):
+    """Words without capitals and punctuation."""
+    return ["".join(chr(97 + k) for k in r.integers(0, 26, r.integers(2, 9))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("script", ["bare", "prose", "han"])
+def test_unaligned_passages_of_51_words_go_to_their_edges(spark, script):
+    r = np.random.default_rng(8)
+    draw = (lambda n: [chr(k) for k in r.integers(0x4E00, 0x9FA0, n)]) if script == "han" else lambda n: made(r, n)
+    gap = "" if script == "han" else " "
+    docs, want = [], {}
+    for k in range(40):
+        passage = draw(51)
+        if script == "prose":
+            passage = [w.capitalize() + "." if i % 23 == 9 else w for i, w in enumerate(passage)]
+        for i in (2 * k, 2 * k + 1):
+            head, tail = draw(int(r.integers(0, 90))), draw(int(r.integers(0, 90)))
+            docs.append((i, gap.join([*head, *passage, *tail])))
+            want[i] = [*head, *([] if i % 2 else passage), *tail]
+    got = {d["doc_id"]: d["text"] for d in spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: t.replace(" ", "") for i, t in got.items()} == {i: "".join(w) for i, w in want.items()}
+
+
+def test_passages_of_39_words_stay_and_of_40_go(spark):
+    r = np.random.default_rng(9)
+    docs, want = [], {}
+    for k, n in enumerate([39, 40] * 20):
+        passage = made(r, n)
+        for i in (2 * k, 2 * k + 1):
+            head, tail = made(r, 30), made(r, 30)
+            docs.append((i, " ".join([*head, *passage, *tail])))
+            want[i] = " ".join([*head, *([] if i % 2 and n == 40 else passage), *tail])
+    got = {d["doc_id"]: d["text"] for d in spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_span_edges(edge_docs, no_docs):
     assert spans.deduplicate(no_docs).collect() == []
     out = spans.deduplicate(edge_docs)

@@ -1,10 +1,12 @@
-"""Substring dedup over sliding sentence spans.
+"""Substring dedup over sliding spans of words.
 
-A text is cut into sentences at places that depend on the words around them alone, so a passage
-has the same sentences wherever it stands: after `.`, `!` or `?`, at line feeds, before capital
-letters and, as prose may lack these, after some words chosen by their bytes. Every run of three
-consecutive sentences is hashed, and hashes are joined over all documents. A sentence goes if a
-run that covers it stands somewhere before, and if it lies in a covered passage of forty words.
+Every span of forty consecutive words is compared with all others, so a passage of forty words that
+stands before goes to its very edges, wherever its sentences or texts are cut. A word ends at white
+space; in scripts that write none between words, each character is one.
+
+Most spans stand once, so two steps keep the hashes few. Runs of sixteen words that have the least
+hash of some 25 in a row are chosen: every span holds a chosen one, and equal spans the same. Only
+spans whose chosen run comes again are hashed themselves and joined over all documents.
 """
 
 from __future__ import annotations
@@ -18,105 +20,190 @@ from pyspark.sql import functions as F
 
 from .common import Batches, map_batches, slices, written
 
-RUN, LEAST_WORDS = 3, 40
+#: Words of a chosen run, and of the least passage that goes.
+RUN, LEAST_WORDS = 16, 40
+#: Bits of the map of chosen runs that come again, and of each of its parts. A full map only costs time.
+BITS, PART = 27, 21
+LOW = (1 << 32) - 1
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
-_ends = np.zeros(256, bool)
-_ends[list(b".!?")] = True
-_weight = np.random.default_rng(11).integers(0, 1 << 40, 256)
+_weight = np.random.default_rng(11).integers(1, 1 << 64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15 | 1
+_scales: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: First two bytes of characters of scripts without spaces, from and to: Thai and Lao, Burmese, Khmer, kana and Han.
+_unspaced = ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE9BF), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0B3))
 
 
 @dataclass
 class Cut:
     raw: bytes  # the text
-    plain: bytes  # its words joined by single spaces
-    first: np.ndarray  # word at which each sentence begins, and the number of words
+    first: np.ndarray  # the words' numbers, and how many
     at: np.ndarray  # byte of raw at which each word begins, and the end
-    where: np.ndarray  # the same in plain, and one after its end
+    words: np.ndarray  # hash of each word
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of values[begin:end] for each pair, the same wherever the values stand."""
+    n = len(values)
+    if len(_scales[0]) <= n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            factors = np.full(2 * n + 1, base, np.uint64)
+            factors[0] = 1
+            _scales[i] = np.cumprod(factors)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _scales[0][:n], out=total[1:])
+    return _mixed((total[end] - total[begin]) * _scales[1][begin])
 
 
 def cut(text: str | None) -> Cut:
     raw = (text or "").encode("utf-8", "surrogatepass")
     a = np.frombuffer(raw, np.uint8)
     space = np.concatenate([[True], _space[a], [True]])
-    begin, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    n = len(begin)
-    if not n:
-        return Cut(raw, b"", np.zeros(1, np.int64), np.array([len(raw)]), np.zeros(1, np.int64))
-    lines = np.concatenate([[0], np.cumsum(a == 10)])
-    head, last = a[begin], a[end - 1]
-    follow = a[np.minimum(begin + 1, len(a) - 1)]
-    capital = (head >= 65) & (head <= 90) | (head == 0xC3) & (follow >= 0x80) & (follow <= 0x9E)
-    weight = np.concatenate([[0], np.cumsum(_weight[a])])
-    anchor = ((weight[end] - weight[begin]) % 16 == 0) & (end - begin >= 5)
-    new = capital
-    new[0] = True
-    new[1:] |= _ends[last[:-1]] | anchor[:-1] | (lines[begin[1:]] > lines[end[:-1]])
-    where = np.concatenate([[0], np.cumsum(end - begin + 1)])
-    return Cut(raw, b" ".join(raw.split()), np.append(np.flatnonzero(new), n), np.append(begin, len(raw)), where)
-
-
-def runs(c: Cut, run: int = RUN) -> np.ndarray:
-    """Signed 64-bit hash of each run of consecutive sentences, by its first sentence."""
-    from xxhash import xxh64_intdigest
-
-    at = c.where[c.first]
-    if len(at) <= run:
-        return np.zeros(0, np.int64)
-    plain = c.plain
-    return np.array([xxh64_intdigest(plain[i : j - 1]) for i, j in zip(at[:-run].tolist(), at[run:].tolist(), strict=True)], np.uint64).view(np.int64)
-
-
-def removed(c: Cut, starts: np.ndarray, run: int = RUN, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """(first, after last) sentences of each passage to remove, given the runs seen before."""
-    covered = np.zeros(len(c.first) + 1, np.int64)
-    for s in starts:
-        covered[s : s + run] = 1
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered])))
-    return [(int(i), int(j)) for i, j in zip(edges[::2], edges[1::2], strict=True) if c.first[j] - c.first[i] >= least_words]
-
-
-def _occurrences(run: int):
+    new, over = ~space[1:] & space[:-1], ~space[:-1] & space[1:]
+    wide = np.flatnonzero(a >= 0xE0)
+    if len(wide):
+        code = a[wide].astype(np.int32) << 8 | a[wide + 1]
+        wide = wide[np.any([(code >= x) & (code <= y) for x, y in _unspaced], 0)]
+        wide = np.concatenate([wide, wide + np.where(a[wide] >= 0xF0, 4, 3)])
+        new[wide] = ~space[1:][wide]
+        over |= new & ~space[:-1]
+    begin, end = np.flatnonzero(new), np.flatnonzero(over)
+    return Cut(raw, np.arange(len(begin) + 1), np.append(begin, len(raw)), _hashes(_weight[a], begin, end))
+
+
+def runs(c: Cut, words: int = LEAST_WORDS) -> np.ndarray:
+    """Signed 64-bit hash of each run of so many consecutive words, by its first word."""
+    i = np.arange(max(0, len(c.words) - words + 1))
+    return _hashes(c.words, i, i + words).view(np.int64)
+
+
+def _extreme(h: np.ndarray, width: int, pick) -> np.ndarray:
+    """Least or greatest of each `width` values in a row."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        h, have = pick(h[: max(0, len(h) - step)], h[step:]), have + step
+    return h
+
+
+def chosen(c: Cut, words: int = LEAST_WORDS, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of runs of `run` words with the least hash of those in some span of `words`."""
+    run = min(run, words)
+    h, width = runs(c, run), words - run + 1
+    if len(h) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.full(width - 1, np.iinfo(np.int64).min)
+    at = np.flatnonzero(_extreme(np.concatenate([edge, _extreme(h, width, np.minimum), edge]), width, np.maximum) == h)
+    return at, h[at]
+
+
+def removed(c: Cut, starts: np.ndarray, words: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """(first, after last) words of each passage to remove, given the spans seen before."""
+    step = np.zeros(len(c.words) + 2, np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + words, -1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(step) > 0])))
+    return [(int(i), int(j)) for i, j in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def _later(h: np.ndarray) -> np.ndarray:
+    more = np.ones(len(h), bool)
+    more[np.unique(h, return_index=True)[1]] = False
+    return more
+
+
+def _chosen_runs(words: int):
     def f(batches: Batches) -> Batches:
         for b in slices(batches):
+            docs, keys, again = [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h, many = np.unique(chosen(cut(text), words)[1], return_counts=True)
+                docs.append(np.full(len(h), doc))
+                keys.append(h)
+                again.append(many > 1)
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, keys, again)], ["doc", "key", "again"])
+
+    return f
+
+
+def _part(table: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << PART, bool)
+    bits[table.column(1).to_numpy()] = True
+    return pa.table([table.column(0).slice(0, 1), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+
+def _map_of(many: DataFrame) -> np.ndarray:
+    """Bit map of keys by their low BITS bits: the driver gets 2^BITS bits at most."""
+    low = F.col("key").bitwiseAND((1 << BITS) - 1)
+    split = many.select(F.shiftright(low, PART).cast("int").alias("part"), low.bitwiseAND((1 << PART) - 1).cast("int").alias("bit")).distinct()
+    out = np.zeros((1 << BITS - PART, 1 << PART - 3), np.uint8)
+    for r in split.groupBy("part").applyInArrow(_part, "part int, bits binary").toLocalIterator():
+        out[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def _spans(words: int, shared):
+    def f(batches: Batches) -> Batches:
+        bits = shared.value
+        for b in slices(batches, 200, 1, 1 << 20):
             docs, places, keys, again = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = runs(cut(text), run)
+                c = cut(text)
+                least = _extreme(runs(c, min(RUN, words)), words - min(RUN, words) + 1, np.minimum)
+                low = least & ((1 << BITS) - 1)  # a span comes again only if its chosen run does
+                at = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(np.int32)
+                if not len(at):
+                    continue
+                h = runs(c, words)
+                h = h[at]
                 docs.append(np.full(len(h), doc))
-                places.append(np.arange(len(h), dtype=np.int32))
+                places.append(at)
                 keys.append(h)
-                more = np.ones(len(h), bool)
-                more[np.unique(h, return_index=True)[1]] = False
-                again.append(more)
+                again.append(_later(h))
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, places, keys, again)], ["doc", "place", "key", "again"])
 
     return f
 
 
-def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc, hits) of documents with runs that stand before: hits are (place, key).
+def _repeated(found: DataFrame) -> DataFrame:
+    many = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("more"))
+    return many.where("first != last or more").select("key", "first")
+
+
+def repeats(docs: DataFrame, words: int = LEAST_WORDS) -> DataFrame:
+    """(doc, hits) of documents with spans that stand before: a hit is the place, and
+    the low half of the key.
 
     What stands before is ordered by doc_id, then place. Rows of equal doc_id are one document; rows
     without doc_id or text take no part. Repeats inside a document are marked where it is read, so
     that joining documents takes sums of plain numbers only.
     """
     own = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    found = written(map_batches(own, _occurrences(run), "doc long, place int, key long, again boolean"))
-    many = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("more"))
-    many = written(many.where("first != last or more").select("key", "first"))
+    runs_found = map_batches(own, _chosen_runs(words), "doc long, key long, again boolean")
+    shared = docs.sparkSession.sparkContext.broadcast(_map_of(_repeated(runs_found)))
+    found = map_batches(own, _spans(words, shared), "doc long, place int, key long, again boolean")  # read twice: writing them takes more
+    many = written(_repeated(found))
     later = found.join(many, "key").where(F.col("again") | (F.col("doc") != F.col("first")))
-    return later.groupBy("doc").agg(F.collect_list(F.struct("place", "key")).alias("hits"))
+    hit = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("key").bitwiseAND(LOW))
+    return later.groupBy("doc").agg(F.collect_list(hit).alias("hits"))
 
 
-def deduplicate(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` (with doc_id and text), text without passages that stand before, and
     __removed: (start, end) of what went, in characters of the whole text.
 
     Null texts stay null; a text that is one passage becomes empty. The white space after a
     passage goes with it. Repeated rows come back each; other columns stay as they are.
     """
-    hits = repeats(docs, run).withColumnsRenamed({"doc": "__doc", "hits": "__hits"})
+    hits = repeats(docs, least_words).withColumnsRenamed({"doc": "__doc", "hits": "__hits"})
     joined = docs.join(hits, docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
     names = docs.columns
     at = names.index("text")
@@ -127,13 +214,14 @@ def deduplicate(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS)
             hits = b.column(len(names))
             if hits.null_count < b.num_rows:
                 texts = texts.to_pylist()
-                for i, h in enumerate(hits.to_pylist()):
-                    if h and texts[i]:
+                for i, h in enumerate(hits):
+                    if h.is_valid and texts[i]:
                         c = cut(texts[i])
-                        keys = runs(c, run)
-                        starts = sorted({x["place"] for x in h if x["place"] < len(keys) and keys[x["place"]] == x["key"]})
+                        keys = runs(c, least_words)
+                        h = h.values.to_numpy()
+                        h = h[h >> 32 < len(keys)]
                         left, kept = 0, []
-                        for s, e in removed(c, np.array(starts, np.int64), run, least_words):
+                        for s, e in removed(c, np.unique(h[keys[h >> 32] & LOW == h & LOW] >> 32), least_words):
                             s, e = int(c.at[c.first[s]]), int(c.at[c.first[e]])
                             kept.append(c.raw[left:s])
                             gone[i].append({"start": len(c.raw[:s].decode("utf-8", "surrogatepass")), "end": len(c.raw[:e].decode("utf-8", "surrogatepass"))})
