@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 # fixed values: public formats of credentials and words that name them
 KEY_WORDS = "(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth[_-]?key|credential|bearer)"
+_HEAD, _TAIL = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----", r"-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
 FORMATS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    # up to its END, or where that is missing, over the lines that may be its body
+    "private_key": rf"{_HEAD}(?:[^-]*+(?:-(?!----)[^-]*+)*+{_TAIL}|(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{{16,}}+)*+)",
     "aws_access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
-    "github_token": r"gh[pousr]_[A-Za-z0-9]{36,255}",
-    "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,200}",
+    "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}+",
+    "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}+",
     "google_api_key": r"AIza[0-9A-Za-z_-]{35}",
-    "jwt": r"eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,1000}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
 }
 DICTIONARY = (
     "the and for that with this from have are not you all can her was one our out day get has him his how man new now old see two way who "
@@ -34,15 +36,23 @@ DICTIONARY = (
 PATH_MARKS = r"[/\\]|\.(?:com|org|net|io|html?|py|js|java|png|jpe?g|pdf|txt|json|xml|so|gz)\b|https?:"
 NEAR_WORDS = r"(?i)(?:" + KEY_WORDS + r"|\bkey\b|\bcreds?\b|login)"
 OTHER_WORDS = r"(?i)\b(?:commit|sha\d*|md5|checksum|digest|uuid|guid|isbn|phone|tel|card|order|invoice|serial|version|image|href|src|id|ref)\b"
-#: A candidate: a known format, a value given to a word that names secrets, or a long word with a digit.
+_NAMED = rf"(?:{KEY_WORDS})[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}"
+#: What is given to such a word: a private key, all up to the quote that closes, or a run of characters.
+_GIVEN = (
+    rf"[\"']?{FORMATS['private_key']}"
+    + "".join(rf"|{q}(?=[^{q}\r\n]{{6}})(?:[^{q}\\\r\n]++|\\.)*+(?={q})" for q in "\"'")
+    + r"|[\"']?[^\s\"'<>,;]{6,}+"
+)
+#: A candidate, whole however long: a known format, a value given to a word that names secrets, or a
+#: long word with a digit.
 CANDIDATE = (
-    "|".join([FORMATS["private_key"]])
-    + rf"|(?:{KEY_WORDS})[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?[^\s\"'<>,;]{{6,512}}"
+    FORMATS["private_key"]
+    + rf"|{_NAMED}(?:{_GIVEN})"
     + r"|" + FORMATS["jwt"]
     + r"|(?<![A-Za-z0-9])(?:" + "|".join(FORMATS[k] for k in ("aws_access_key", "github_token", "slack_token", "google_api_key")) + ")(?![A-Za-z0-9])"
-    + r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,4096}={0,2}"
+    + r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
-VALUE = rf"^(?:(?:{KEY_WORDS})[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?)"
+VALUE = rf"^(?:{_NAMED}[\"']?)"
 #: Characters of text on each side that count as neighbouring words.
 CONTEXT = 48
 #: Labelled findings, trees, depth and threshold of the forest.
@@ -52,7 +62,8 @@ NAMES = ("length", "digits", "uppers", "changes", "vowels", "dictionary", "marks
 
 def features(match: Column, before: Column, after: Column) -> Column:
     """Struct of NAMES as doubles, of a candidate and the text on both sides of it."""
-    value = F.regexp_replace(match, VALUE, "")
+    whole = F.regexp_replace(match, VALUE, "")
+    value = F.regexp_replace(whole, rf"(?s)^({_HEAD}).*", "$1")  # a key is told by its header
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     near = F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), F.left(after, F.lit(CONTEXT)))
     words = F.lower(value)
@@ -69,7 +80,7 @@ def features(match: Column, before: Column, after: Column) -> Column:
         covered / n,
         share("[^A-Za-z0-9]"),
         flag(value.rlike(PATH_MARKS) | F.right(before, F.lit(8)).rlike(r"[/\\.]$|https?:")),
-        flag(F.length(value) < F.length(match)),
+        flag(F.length(whole) < F.length(match)),
         flag(near.rlike(NEAR_WORDS)),
         flag(near.rlike(OTHER_WORDS)),
         flag(value.rlike("^(?:" + "|".join(FORMATS.values()) + ")$")),
