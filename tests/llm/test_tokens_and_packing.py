@@ -95,6 +95,20 @@ def test_completion_beats_best_fit():
     assert sum(m for _, m in packing.complete(counts, 10)) == packing.lower_bound(counts, 10) == 4
 
 
+@pytest.mark.parametrize("low,high,fewer", [(600, 1000, 8), (400, 560, 2)])
+def test_fillings_of_many_pieces(low, high, fewer):
+    r = random.Random(12)
+    counts = Counter(r.randint(low, high) for _ in range(1000))
+    fit, best = (sum(m for _, m in plan) for plan in (packing.best_fit(counts, 4096), packing.complete(counts, 4096)))
+    assert packing.lower_bound(counts, 4096) <= best <= fit - fewer
+
+
+def test_completions_have_any_number_of_pieces():
+    counts = {7: 3, 5: 9, 3: 2}
+    assert packing.completions(26, [7, 5, 3], counts)[0] == (7, 7, 7, 5) and (7, 5, 5, 3, 3, 3) not in packing.completions(26, [7, 5, 3], counts)
+    assert packing.completions(43, [5], {5: 8}) == [(5,) * 8]
+
+
 def test_packing_edges(edge_docs, no_docs):
     assert packing.pack_documents(no_docs).collect() == []
     cut = packing.cut(edge_docs, capacity=64, with_ids=True).collect()

@@ -21,6 +21,8 @@ from .common import Batches, gathered, map_batches, partitions, written
 from .tokens import chunk_ids, vocabulary
 
 CAPACITY, END_ID = 4096, 1
+#: Pieces of a filling that is tested for dominance, at most: the test tries all ways to deal them.
+DEALT = 6
 
 #: Filling of a sequence: (length, how many) with descending lengths; how many sequences have it.
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -132,45 +134,60 @@ def _fits(items: tuple[int, ...], bins: tuple[int, ...]) -> bool:
     return any(_fits(items[1:], bins[:i] + (b - items[0],) + bins[i + 1 :]) for i, b in enumerate(bins) if b >= items[0])
 
 
-def completions(rest: int, lengths: list[int], counts: dict[int, int], most_items: int = 3, keep: int = 12) -> list[tuple[int, ...]]:
-    """Undominated fillings of `rest`, least waste first. lengths: descending, those left.
+def _under(c: tuple[int, ...], k: tuple[int, ...]) -> bool:
+    return len(c) <= len(k) and all(x <= y for x, y in zip(c, k, strict=False))
 
-    A filling is dominated if its pieces fit into the places that the pieces of another take.
+
+def completions(rest: int, lengths: list[int], counts: dict[int, int], keep: int = 12) -> list[tuple[int, ...]]:
+    """Fillings of `rest` by any number of pieces, least waste first, larger pieces first, `keep` at
+    most. lengths: descending, those left.
+
+    The sums that can be reached by each length and those after it are bit sets, so every filling
+    is found without a dead end. A filling is dominated, and left out, if its pieces fit into the
+    places that the pieces of another take; those of more than DEALT pieces are only tested place by place.
     """
-    fit = np.array([x for x in lengths if x <= rest and counts[x]], dtype=np.int64)[::-1]
-    if not len(fit):
+    fit = [x for x in lengths if x <= rest and counts[x]]
+    if not fit:
         return [()]
-    if fit[np.searchsorted(fit, rest, "right") - 1] == rest:
+    if fit[0] == rest:
         return [(rest,)]  # one piece that leaves no waste dominates everything
-    found: set[tuple[int, ...]] = set()
+    mask, reach = (1 << rest + 1) - 1, [1]
+    for x in reversed(fit):
+        sums, left, step = reach[-1], min(counts[x], rest // x), 1
+        while left:
+            step = min(step, left)
+            sums |= sums << step * x & mask
+            left, step = left - step, 2 * step
+        reach.append(sums)
+    reach.reverse()  # reach[i]: of fit[i:]
+
+    def fillings(total: int, i: int):
+        if not total:
+            yield ()
+        while total and reach[i] >> total & 1:
+            x = fit[i]
+            i += 1
+            for k in range(min(counts[x], total // x), 0, -1):
+                if reach[i] >> total - k * x & 1:
+                    for more in fillings(total - k * x, i):
+                        yield (x,) * k + more
 
-    def grow(chosen: tuple[int, ...], left: int) -> None:
-        top = min(left, chosen[-1]) if chosen else left
-        at = int(np.searchsorted(fit, top, "right"))
-        if not at or len(chosen) == most_items:
-            found.add(chosen)
-            return
-        tight = len(chosen) == most_items - 1
-        for x in fit[:at][::-1][: 1 if tight else keep]:
-            x = int(x)
-            if chosen.count(x) < counts[x]:
-                grow((*chosen, x), left - x)
-            elif tight:
-                found.add(chosen)
-
-    grow((), rest)
-    ranked = sorted(found, key=lambda c: (rest - sum(c), len(c)))
     kept: list[tuple[int, ...]] = []
-    for c in ranked:
-        if not any(_fits(c, k) for k in kept):
-            kept.append(c)
-        if len(kept) == keep:
-            break
+    sums, looked = reach[0], 0
+    while sums > 1 and len(kept) < keep and looked < 4 * keep:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        for c in fillings(total, 0):
+            looked += 1
+            if not any(_under(c, k) or len(c) <= DEALT and len(k) <= DEALT and _fits(c, k) for k in kept):
+                kept.append(c)
+            if len(kept) == keep or looked == 4 * keep:
+                break
     return kept
 
 
 def complete(counts: dict[int, int], capacity: int, nodes: int = 400) -> Plan:
-    """Bin completion: branch on the undominated fillings around the longest piece left.
+    """Bin completion: branch on the fillings around the longest piece left.
 
     Best fit gives the first incumbent, and one at each node for what is left there. A branch is
     cut where the sequences used and the lower bound of the rest reach the incumbent. The search
