@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, fp string, piece string, first int, unit string, label int, `odd name` string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, fp string, piece string, first int, unit string, label int, `odd name` string, __score string, __hits int, __removed string, __doc int, __lang_pred int, __parts int, __found int, __lang int, __size int, n int, h int, rank int, salt int"
 
 
 @pytest.fixture(scope="session")
@@ -21,7 +21,7 @@ def edge_docs(spark):
         (9, "日本語のテキスト 😀 é", "ja"),
         (10, "a▁b  c\u0000d", None),
     ]
-    return spark.createDataFrame([(i, t, g, None, None if t is None else len(t), 1, "f", "p", 1, "u", None, "o") for i, t, g in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, g, None, None if t is None else len(t), 1, "f", "p", 1, "u", None, "o", "s", 1, "r", 1, 1, 1, 1, 1, 1, 1, 1, 1, 1) for i, t, g in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

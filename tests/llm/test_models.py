@@ -28,13 +28,68 @@ def test_language_learns_from_text_alone(spark, sf_more):
     assert a == b
 
 
+def gram_set(t):
+    """n-grams of a text of letters and single spaces."""
+    return {c[i : i + n] for c in [f" {t} "] for n in (1, 2, 3) for i in range(len(c) - n + 1)} - {" "}
+
+
 def test_kernel_is_that_of_sets():
-    alphabet, grams, columns = language._landmarks(["the sea", "die see"])
-    model = language.Model(alphabet, grams, columns, np.zeros(0), [])
-    near = {t: {c[i : i + n] for c in [f" {t} "] for n in (1, 2, 3) for i in range(len(c) - n + 1)} - {" "} for t in ("the sea", "die see", "sea")}
-    got = model.kernel(["sea"])[0]
-    for k, t in enumerate(("the sea", "die see")):
-        assert got[k] == pytest.approx(len(near["sea"] & near[t]) / (len(near["sea"]) * len(near[t])) ** 0.5, abs=1e-5)
+    texts = ["the sea", "die see", "море 𐐷𐐨"]
+    model, _ = language.nystrom([np.sort(language.grams(t)) for t in texts], ["x"])
+    for own in ("sea", "海 море", "e s"):
+        got = model.kernel([own])[0]
+        for k, t in enumerate(texts):
+            a, b = gram_set(own), gram_set(t)
+            assert got[k] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, abs=1e-5)
+    long = "ab cd " * 1000
+    assert set(language.grams(long, 100).tolist()) == set(language.grams(long).tolist()) and len(language.grams("12 ?!")) == 0
+
+
+def test_language_model_against_plain_numpy(spark):
+    """All rows are landmarks, so the kernel matrix of plain sets gives the whole fit."""
+    r = np.random.default_rng(3)
+    letters = {"aa": "abcde", "bb": "defgh", "cc": "жзийк"}
+    rows = [(i, " ".join("".join(r.choice(list(letters[g]), 4)) for _ in range(6)), g) for i, g in enumerate(sorted(letters) * 12)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), landmarks=50)
+    sets = [gram_set(t) for _, t, _ in rows]
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    y = np.where(np.array([g for _, _, g in rows])[:, None] == np.array(sorted(letters))[None], 1.0, -1.0)
+    values, vectors = np.linalg.eigh(k)
+    x = vectors[:, values > 1e-6 * values.max()] * np.sqrt(values[values > 1e-6 * values.max()])  # x x' = k
+    want = x @ np.linalg.solve(x.T @ x + 1e-3 * np.trace(x.T @ x) / x.shape[1] * np.eye(x.shape[1]), x.T @ y)
+    assert model.languages == sorted(letters)
+    assert np.allclose(model.kernel([t for _, t, _ in rows]) @ model.weights, want, atol=2e-3)
+    names, score, claim = model.predict([t for _, t, _ in rows])
+    assert names == [sorted(letters)[i] for i in want.argmax(1)] and np.allclose(claim, want.max(1), atol=2e-3)
+
+
+SCRIPTS = {"en": 0x61, "ru": 0x430, "el": 0x3B1, "ka": 0x10D0, "th": 0xE01, "hy": 0x561, "he": 0x5D0, "zh": 0x4E00, "xx": 0x10428}
+
+
+def texts_in(script, count, seed):
+    r = np.random.default_rng(seed)
+    words = ["".join(chr(SCRIPTS[script] + k) for k in r.integers(0, 20, r.integers(2, 6))) for _ in range(60)]
+    return [" ".join(words[k] for k in r.integers(0, 60, r.integers(8, 60))) for _ in range(count)]
+
+
+def test_every_script_is_told_apart(spark):
+    rows = [(i, t, s) for i, (s, t) in enumerate((s, t) for s in SCRIPTS for t in texts_in(s, 60, 7))]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for s in SCRIPTS:
+        held = [got[i]["lang_pred"] == g for i, _, g in rows if g == s and got[i]["held_out"]]
+        assert len(held) > 5 and np.mean(held) > 0.95, s
+
+
+def test_texts_that_no_learned_language_claims_go(spark, sf_more):
+    docs = spark.read.parquet(f"{sf_more}/documents.parquet").select("doc_id", "text", "lang", "source")
+    assert language.keep_identified(docs).count() == docs.count()
+    other = spark.createDataFrame([(100_000 + i, t, None, "s") for i, t in enumerate(texts_in("ka", 30, 1) + texts_in("zh", 30, 2))], docs.schema)
+    kept = {r["doc_id"] for r in language.keep_identified(docs.union(other)).select("doc_id").collect()}
+    assert len(kept) == docs.count() and max(kept) < 100_000
+    only = language.fit(docs.where("lang = 'de'").union(other.withColumn("lang", F.lit("ka"))), F.lit(True))
+    assert 100_000 in {r["doc_id"] for r in language.keep_identified(docs.union(other), model=only).select("doc_id").collect()}
+    without = docs.union(other).drop("lang")
+    assert language.keep_identified(without).count() == docs.count() + 60 and language.keep_identified(docs.withColumn("lang", F.lit(None).cast("string"))).count() == docs.count()
 
 
 def test_language_edges(edge_docs, no_docs):

@@ -72,6 +72,17 @@ def written(df: DataFrame) -> DataFrame:
     return Written(df).df
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of our own: `names`, with underscores after those that are in `columns`."""
+    have, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 Batches = Iterator[pa.RecordBatch]
 
 

@@ -4,6 +4,9 @@ Two texts' kernel is how many distinct n-grams of one to three letters both have
 of the product of how many each has (a blended-spectrum presence kernel). A few training texts
 of each language are landmarks; the Nyström map through their kernel matrix gives each text a
 short vector, and ridge regression of one language against the rest is fitted on those.
+
+Letters are code points of any script, and an n-gram is one whole number that holds them all, so no
+two n-grams are ever taken for one another.
 """
 
 from __future__ import annotations
@@ -12,149 +15,168 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, bucket_of, map_batches, slices, thinned, written
+from .common import Batches, bucket_of, fresh, map_batches, slices, thinned, written
 
-#: Training rows and landmarks of a language at most; distinct letters told apart.
-PER_LANGUAGE, LANDMARKS, LETTERS = 1000, 24, 62
-#: Languages whose rows are thinned before they are ranked.
-LARGE = 1000
+#: Training rows and landmarks of a language at most.
+PER_LANGUAGE, LANDMARKS = 1000, 24
+#: Languages that are learned at most, those with most rows, so that a dirty column stays bounded.
+LANGUAGES = 200
+#: A text is of no learned language where no one-versus-rest value of it is over this: they are
+#: fitted to 1 for a language's own texts and -1 for others.
+CLAIM = 0.0
 UNDETERMINED = "und"
+#: What stands for all that is no letter; 21 bits hold any code point and it.
+BORDER, BITS = 0x110000, 21
 _letter = re.compile(r"[^\W\d_]")
+_is_letter = np.zeros(BORDER, bool)
+
+
+def _letters() -> np.ndarray:
+    if not _is_letter[97]:
+        _is_letter[:] = [chr(i).isalpha() for i in range(BORDER)]
+    return _is_letter
 
 
 def has_letter(t: str) -> bool:
     return any(m[0].isalpha() for m in _letter.finditer(t))  # fractions and the like match too
 
 
-@dataclass
-class Alphabet:
-    """Code units -> small numbers: 0 for what is no letter, the last for letters not in `letters`."""
-
-    letters: str
-
-    def __post_init__(self) -> None:
-        self.size = len(self.letters) + 2
-        self.table = np.zeros(1 << 16, np.int32)
-        for i in range(1 << 16):
-            if chr(i).isalpha() or 0xD800 <= i < 0xE000:
-                self.table[i] = self.size - 1
-        for i, c in enumerate(self.letters):
-            self.table[ord(c)] = i + 1
-        self.grams = self.size + self.size**2 + self.size**3
-
-    def present(self, text: str) -> np.ndarray:
-        """Which n-grams a text has, with a border before and after it."""
-        units = np.frombuffer(f" {text.lower()} ".encode("utf-16-le", "surrogatepass"), "<u2")
-        a, n = self.table[units], self.size
-        out = np.zeros(self.grams, bool)
-        out[a] = True
-        two = a[:-1] * n + a[1:]
-        out[two + n] = True
-        out[two[:-1] * n + a[2:] + (n + n * n)] = True
-        out[[0, n, n + n * n]] = False  # borders alone
-        return out
+def grams(text: str, part: int = 1 << 20) -> np.ndarray:
+    """The distinct n-grams of one to three letters of a text, with a border before and after each
+    word; long texts are read `part` letters at a time."""
+    units = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    units = np.where(_letters()[units], units, np.uint32(BORDER))
+    units = units[np.concatenate([[True], (units[1:] != BORDER) | (units[:-1] != BORDER)])]  # borders in a row are one
+    found = []
+    for at in range(0, len(units), part):
+        a = units[at : at + part + 2].astype(np.int64)
+        two = a[:-1] << BITS | a[1:]
+        found.append(pd.unique(np.concatenate([a[a != BORDER], two, two[:-1] << BITS | a[2:]])))
+    return found[0] if len(found) == 1 else pd.unique(np.concatenate(found))
 
 
 @dataclass
 class Model:
-    alphabet: Alphabet
-    grams: np.ndarray  # that landmarks have
+    grams: np.ndarray  # that landmarks have, sorted
     landmarks: np.ndarray  # grams x landmarks, each column over the root of its count
     weights: np.ndarray  # landmarks x languages
     languages: list[str]
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        rows = np.empty((len(texts), len(self.grams)), np.float32)
+        if not hasattr(self, "_at"):
+            self._at = pd.Index(self.grams)
+        rows = np.zeros((len(texts), len(self.grams)), np.float32)
         n = np.empty(len(texts))
         for i, t in enumerate(texts):
-            has = self.alphabet.present(t)
-            rows[i] = has[self.grams]
-            n[i] = max(1, np.count_nonzero(has))
+            has = grams(t)
+            at = self._at.get_indexer(has)
+            rows[i, at[at >= 0]] = 1
+            n[i] = max(1, len(has))
         return (rows @ self.landmarks) / np.sqrt(n)[:, None]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score from 0 to 1; `und` and 0 for null and for texts without a letter."""
-        names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_at"}
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score from 0 to 1, and the greatest one-versus-rest value; `und`, 0 and -1 for
+        null, for texts without a letter, and where no language was learned."""
+        names, score, claim = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), -1.0)
         at = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if at and self.languages:
             f = self.kernel([texts[i] for i in at]) @ self.weights
             p = np.exp(8 * (f - f.max(1, keepdims=True)))
             score[at] = (p / p.sum(1, keepdims=True)).max(1)
+            claim[at] = f.max(1)
             for i, k in zip(at, f.argmax(1), strict=True):
                 names[i] = self.languages[k]
-        return names, score
+        return names, score, claim
 
 
-def _landmarks(texts: list[str]) -> tuple[Alphabet, np.ndarray, np.ndarray]:
-    letters: dict[str, int] = {}
-    for t in texts:
-        for c in t.lower():
-            if c.isalpha() and ord(c) < 1 << 16:
-                letters[c] = letters.get(c, 0) + 1
-    alphabet = Alphabet("".join(sorted(sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS])))
-    has = np.array([alphabet.present(t) for t in texts])
-    grams = np.flatnonzero(has.any(0))
-    return alphabet, grams, (has[:, grams] / np.sqrt(np.maximum(1, has.sum(1)))[:, None]).T.astype(np.float32)
+def nystrom(has: list[np.ndarray], languages: list[str]) -> tuple[Model, np.ndarray]:
+    """A model without weights over landmarks with these grams, and the root that maps kernels with
+    them to vectors whose products are the landmarks' own kernels."""
+    known = np.unique(np.concatenate(has))
+    table = np.zeros((len(known), len(has)), np.float32)
+    for k, g in enumerate(has):
+        table[np.searchsorted(known, g), k] = 1 / np.sqrt(max(1, len(g)))
+    between = table.T.astype(float) @ table
+    values, vectors = np.linalg.eigh(between)
+    keep = values > 1e-6 * values.max()
+    return Model(known, table, np.zeros((len(has), len(languages))), languages), vectors[:, keep] / np.sqrt(values[keep])
 
 
-def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = 1e-3) -> Model:
+def solve(total: np.ndarray, root: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of landmarks from the sums of x'x and x'y over all training rows, side by side."""
+    m = len(total)
+    inner, right = root.T @ total[:, :m] @ root, root.T @ total[:, m:]
+    return root @ np.linalg.solve(inner + ridge * np.trace(inner) / len(inner) * np.eye(len(inner)), right)
+
+
+def _gram_lists(batches: Batches) -> Batches:
+    for b in slices(batches, 64, 1):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(grams(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["lang", "grams"])
+
+
+def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = 1e-3, most: int = LANGUAGES) -> Model:
     """Learns from `docs` (doc_id, text, lang) where `train` holds, lang isn't null and text has a
-    letter. Of each language it takes the per_language rows of least hash, out of a share of its rows
-    that holds eight times as many; no such rows: a model that knows no language."""
-    spark = docs.sparkSession
-    labelled = docs.where(train & F.col("lang").isNotNull())
-    sizes = labelled.groupBy(F.col("lang").alias("__lang")).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > 8 * per_language)
-    large = F.broadcast(sizes.orderBy(F.desc("__size"), "__lang").limit(LARGE))  # LARGE rows at most; other languages come whole
-    few = labelled.join(large, F.col("lang") == F.col("__lang"), "left")
-    few = thinned(few, F.col("doc_id"), F.coalesce("__size", F.lit(0)), per_language)
+    letter. Of each of the `most` languages with most rows it takes the per_language rows of least
+    hash, out of a share of its rows that holds eight times as many; no such rows, or no column lang:
+    a model that knows no language. Of rows with one doc_id and lang, one is learned from."""
+    spark, none = docs.sparkSession, Model(np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)), [])
+    if "lang" not in docs.columns:
+        return none
+    labelled = docs.where(train & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    large = F.broadcast(sizes.orderBy(F.desc("size"), "lang").limit(most))  # `most` rows at most
+    few = thinned(labelled.join(large, "lang"), F.col("doc_id"), F.col("size"), per_language)
     usable = few.where(F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = usable.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).withColumn("n", rank).where(F.col("n") <= per_language).select("doc_id", "lang", "n")
-    chosen = written(chosen.dropDuplicates(["doc_id", "lang"]))  # per_language rows for each language
-    sample = written(docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).repartition(8))
-    first = sorted({(r["lang"], r["text"]) for r in sample.where(F.col("n") <= landmarks).select("lang", "text").collect()})
+    chosen = usable.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).distinct().withColumn("n", rank).where(F.col("n") <= per_language)
+    chosen = written(chosen.select("doc_id", "lang", "n"))  # per_language rows for each language
+    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.col("text").rlike(r"\p{L}"))
+    sample = written(sample.groupBy("doc_id", "lang", "n").agg(F.min("text").alias("text")).repartition(8))
+    first = map_batches(sample.where(F.col("n") <= landmarks).select("lang", "text"), _gram_lists, "lang string, grams array<long>")
+    first = sorted({(r["lang"], tuple(r["grams"])) for r in first.collect()})  # landmarks for each language
     if not first:
-        return Model(Alphabet(""), np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)), [])
+        return none
     languages = sorted({x[0] for x in first})
-    model = Model(*_landmarks([x[1] for x in first]), np.zeros(0), languages)
+    model, root = nystrom([np.array(x[1], np.int64) for x in first], languages)
     at, m, k = {x: i for i, x in enumerate(languages)}, len(first), len(languages)
-    between = model.landmarks.T.astype(float) @ model.landmarks
-    values, vectors = np.linalg.eigh(between)
-    keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])
     shared = spark.sparkContext.broadcast(model)
 
     def sums(batches: Batches) -> Batches:
         total = np.zeros((m, m + k))
-        for b in slices(batches, 256, 0):
+        for b in slices(batches, 64, 0):
             x = shared.value.kernel(b.column(0).to_pylist())
             y = np.full((len(x), k), -1.0)
             y[np.arange(len(x)), [at[v] for v in b.column(1).to_pylist()]] = 1
             total += x.T @ np.hstack([x, y])
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["total"])
 
-    total = sum(np.array(r[0]).reshape(m, m + k) for r in map_batches(sample.select("text", "lang"), sums, "total array<double>").collect())
-    inner, right = root.T @ total[:, :m] @ root, root.T @ total[:, m:]
-    model.weights = root @ np.linalg.solve(inner + ridge * np.trace(inner) / len(inner) * np.eye(len(inner)), right)
+    known = sample.where(F.col("lang").isin(languages))
+    total = sum(np.array(r[0]).reshape(m, m + k) for r in map_batches(known.select("text", "lang"), sums, "total array<double>").collect())
+    model.weights = solve(total, root, ridge)
     return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` (with text; other columns stay) and lang_pred, score. Repeated rows come back each."""
+    """`docs` (with text; other columns stay), and as its last three columns the language, its score
+    and its claim (see Model.predict). Repeated rows come back each."""
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    at = names.index("text")
+    at, new = names.index("text"), fresh(names, "__lang_pred", "__score", "__claim")
 
     def run(batches: Batches) -> Batches:
-        for b in slices(batches, 256, at):
-            lang, score = shared.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, "__lang_pred", "__score"])
+        for b in slices(batches, 64, at):
+            lang, score, claim = shared.value.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(claim)], [*names, *new])
 
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema]
-    return map_batches(docs, run, ", ".join([*fields, "__lang_pred string", "__score double"]))
+    return map_batches(docs, run, ", ".join([*fields, *(f"`{n}` {t}" for n, t in zip(new, ("string", "double", "double"), strict=True))]))
 
 
 def identify(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
@@ -165,13 +187,19 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """
     own = docs.select("doc_id", "text", "lang")
     held_out = F.coalesce(bucket_of(F.col("doc_id"), folds) == held, F.lit(True))
-    model = fit(own, ~held_out)
-    return predict(own.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
-
-
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """Rows of `docs` whose language is identified with a score of `least` at least, all columns
-    as they are. Null texts and texts without a letter go."""
-    needed = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
-    model = fit(docs.select(*needed), F.col("doc_id").isNotNull())
-    return predict(docs, model).where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)
+    got = predict(own.select("doc_id", "text"), fit(own, ~held_out))
+    return got.select("doc_id", held_out.alias("held_out"), F.col(got.columns[-3]).alias("lang_pred"), F.col(got.columns[-2]).alias("score"))
+
+
+def keep_identified(docs: DataFrame, claim: float = CLAIM, model: Model | None = None) -> DataFrame:
+    """Rows of `docs` (doc_id, text, lang) that some learned language claims, all columns as they are.
+
+    The model is the one given, or learned from all labelled rows. Rejected, so gone: null texts, texts
+    without a letter, and texts of which no one-versus-rest value is over `claim`, such as those in
+    a script that no learned language has. Where nothing could be learned (no column lang, no labels),
+    texts with a letter stay. No rows: no rows; repeated rows stay each."""
+    model = model or fit(docs, F.col("doc_id").isNotNull())
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    got = predict(docs, model)
+    return got.where((F.col(got.columns[-3]) != UNDETERMINED) & (F.col(got.columns[-1]) > claim)).select(*(F.col(f"`{c}`") for c in docs.columns))
