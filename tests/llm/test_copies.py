@@ -94,17 +94,38 @@ def test_simhash_edges(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns and ids.count(1) == 1 and ids.count(None) == 1 and not {3, 4} & set(ids)
 
 
-def brute_spans(docs):
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3000, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x33FFF))
+
+
+def words_of(text):
+    """(start, end) of each word, character by character."""
+    out, at = [], None
+    for i, c in enumerate(text):
+        space, alone = c in " \t\n\x0b\x0c\r", any(a <= ord(c) <= b for a, b in UNSPACED)
+        if (space or alone) and at is not None:
+            out.append((at, i))
+            at = None
+        if alone:
+            out.append((i, i + 1))
+        elif not space and at is None:
+            at = i
+    return out + ([(at, len(text))] if at is not None else [])
+
+
+def brute_spans(docs, least=50):
+    """The text without each span of `least` words that stands before, from plain sets of words."""
     seen, out = set(), {}
     for i, text in docs:
-        c = spans.cut(text)
-        keys = spans.runs(c).tolist()
-        starts = [k for k, h in enumerate(keys) if h in seen or seen.add(h)]
-        left, kept = 0, []
-        for a, b in spans.removed(c, np.array(starts, int)):
-            kept.append(c.raw[left : c.at[c.first[a]]])
-            left = c.at[c.first[b]]
-        out[i] = (b"".join(kept) + c.raw[left:]).decode()
+        places = words_of(text)
+        words = [text[a:b] for a, b in places]
+        gone = [False] * len(words)
+        for k in range(len(words) - least + 1):
+            span = " ".join(words[k : k + least])
+            if span in seen:
+                gone[k : k + least] = [True] * least
+            seen.add(span)
+        begins = [a for a, _ in places] + [len(text)]
+        out[i] = text[: begins[0]] + "".join(text[begins[k] : begins[k + 1]] for k in range(len(words)) if not gone[k])
     return out
 
 
@@ -158,15 +179,15 @@ def test_unaligned_passages_of_51_words_go_to_their_edges(spark, script):
     assert {i: t.replace(" ", "") for i, t in got.items()} == {i: "".join(w) for i, w in want.items()}
 
 
-def test_passages_of_39_words_stay_and_of_40_go(spark):
+def test_passages_of_49_words_stay_and_of_50_go(spark):
     r = np.random.default_rng(9)
     docs, want = [], {}
-    for k, n in enumerate([39, 40] * 20):
+    for k, n in enumerate([49, 50] * 20):
         passage = made(r, n)
         for i in (2 * k, 2 * k + 1):
             head, tail = made(r, 30), made(r, 30)
             docs.append((i, " ".join([*head, *passage, *tail])))
-            want[i] = " ".join([*head, *([] if i % 2 and n == 40 else passage), *tail])
+            want[i] = " ".join([*head, *([] if i % 2 and n == 50 else passage), *tail])
     got = {d["doc_id"]: d["text"] for d in spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want
 
@@ -175,11 +196,33 @@ def test_span_edges(edge_docs, no_docs):
     assert spans.deduplicate(no_docs).collect() == []
     out = spans.deduplicate(edge_docs)
     rows = out.collect()
-    assert out.columns == [*edge_docs.columns, "__removed"] and len(rows) == edge_docs.count()
+    gone = out.columns[-1]
+    assert out.columns[:-1] == edge_docs.columns and gone not in edge_docs.columns and len(rows) == edge_docs.count()
     by = {r["doc_id"]: r for r in rows}
-    assert by[2]["text"] is None and by[3]["text"] == "" and by[8]["text"] == "x" * 50_000 and by[None]["__removed"] == []
+    assert by[2]["text"] is None and by[3]["text"] == "" and by[8]["text"] == "x" * 50_000 and by[None][gone] == []
     assert len(by[5]["text"]) < 500 and by[6]["text"].endswith("Ende.") and len(by[6]["text"]) < 500
-    assert [len(r["__removed"]) for r in rows if r["doc_id"] == 1] == [0, 0]
+    assert [len(r[gone]) for r in rows if r["doc_id"] == 1] == [0, 0] and {r["__removed"] for r in rows} == {"r"}
+
+
+def test_sentences():
+    text = 'One two. "Three four?" Five!\nsix seven… Ende。ここ。'
+    c = spans.cut(text)
+    whole = [c.raw[c.at[a] : c.at[b]].decode().strip() for a, b in zip(c.starts[:-1], c.starts[1:], strict=True)]
+    assert whole[:5] == ["One two.", '"Three four?"', "Five!", "six seven…", "Ende。"[:4] + "。"]
+    long = spans.cut(" ".join(made(np.random.default_rng(2), 500)))
+    assert np.diff(long.starts).max() <= spans.LIMIT and len(long.starts) > 60
+    assert len(spans.cut(" \n").starts) == 1 and len(spans.cut(None).words) == 0
+
+
+def test_hot_spans_and_reflowed_lines(spark, monkeypatch):
+    """A passage that a third of all documents hold, and one whose lines break elsewhere."""
+    monkeypatch.setattr(spans, "HOT", 0.0)
+    r = np.random.default_rng(12)
+    hot, other = made(r, 80), made(r, 60)
+    docs = [(i, " ".join([*made(r, 20), *hot, *made(r, 20)])) for i in range(1500)]
+    docs += [(2000, " ".join(other)), (2001, "\n".join(" ".join(other[k : k + 7]) for k in range(0, 60, 7)))]
+    got = {d["doc_id"]: d["text"] for d in spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_spans(docs) and got[2001] == "" and len(got[7].split()) == 40
 
 
 def test_multi_sequence_order():

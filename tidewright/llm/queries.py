@@ -51,7 +51,8 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spans.deduplicate(_documents(spark, sf_dir))
-    return out.select("doc_id", "text", F.size("__removed").alias("n_removed"), F.col("__removed").alias("removed"))
+    gone = F.col(out.columns[-1])
+    return out.select("doc_id", "text", F.size(gone).alias("n_removed"), gone.alias("removed"))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Substring dedup over sliding spans of words.
-
-Every span of forty consecutive words is compared with all others, so a passage of forty words that
-stands before goes to its very edges, wherever its sentences or texts are cut. A word ends at white
-space; in scripts that write none between words, each character is one.
-
-Most spans stand once, so two steps keep the hashes few. Runs of sixteen words that have the least
-hash of some 25 in a row are chosen: every span holds a chosen one, and equal spans the same. Only
-spans whose chosen run comes again are hashed themselves and joined over all documents.
+"""Substring dedup over sliding spans of sentences.
+
+A text is cut into sentences, and every run of three consecutive sentences is hashed and counted over
+all documents. Words whose runs stand elsewhere too are then compared exactly: each span of fifty words
+all of whose runs come again is hashed itself and joined over all documents, so a passage of fifty words
+or more that stands before goes to its very edges, and shorter repeats stay.
+
+A sentence ends at a full stop, question or exclamation mark. Where none comes for eight words, the
+least word hash of each eight in a row begins a new one, so that lines without marks, tables and lists
+have sentences too, the same ones wherever they stand and however lines are broken: any span of fifty
+words holds a whole run whose borders its own words decide. A word ends at white space; in scripts
+that write none between words, each character is one.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, map_batches, slices, written
+from .common import Batches, fresh, map_batches, partitions, slices, written
 
-#: Words of a chosen run, and of the least passage that goes.
-RUN, LEAST_WORDS = 16, 40
-#: Bits of the map of chosen runs that come again, and of each of its parts. A full map only costs time.
+#: Sentences of a run, most words of a sentence without an end, and words of the least passage that goes.
+SENTENCES, LIMIT, LEAST_WORDS = 3, 8, 50
+#: Bits of the map of runs that come again, and of each of its parts. A full map only costs time.
 BITS, PART = 27, 21
+#: A span of more than this share of all spans has its rows dealt over all partitions; there are at most 1 / HOT.
+HOT = 1e-4
 LOW = (1 << 32) - 1
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -32,14 +37,18 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _scales: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: First two bytes of characters of scripts without spaces, from and to: Thai and Lao, Burmese, Khmer, kana and Han.
 _unspaced = ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE9BF), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0B3))
+#: Marks that end a sentence: of one byte, those that may follow one, and of more bytes.
+_stops, _closing = np.frombuffer(b".!?", np.uint8), np.frombuffer(b"\"')]}", np.uint8)
+_wide_stops = [int.from_bytes(c.encode(), "big") for c in "…。！？।؟۔"]
+_least = np.iinfo(np.int64).min
 
 
 @dataclass
 class Cut:
     raw: bytes  # the text
-    first: np.ndarray  # the words' numbers, and how many
     at: np.ndarray  # byte of raw at which each word begins, and the end
     words: np.ndarray  # hash of each word
+    starts: np.ndarray  # first word of each sentence, and how many words there are
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -61,6 +70,44 @@ def _hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     return _mixed((total[end] - total[begin]) * _scales[1][begin])
 
 
+def _extreme(h: np.ndarray, width: int, pick) -> np.ndarray:
+    """Least or greatest of each `width` values in a row."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        h, have = pick(h[: max(0, len(h) - step)], h[step:]), have + step
+    return h
+
+
+def _ends(a: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each word a[begin:end] ends a sentence."""
+    last = a[end - 1]
+    closed = np.isin(last, _closing) & (end - begin > 1)
+    last = np.where(closed, a[end - 2], last)
+    out = np.isin(last, _stops)
+    wide = np.flatnonzero((last >= 0x80) & (end - begin > 1))
+    if len(wide):
+        e = end[wide] - closed[wide]
+        code = a[e - 2].astype(np.int64) << 8 | a[e - 1]
+        out[wide] |= np.isin(code, _wide_stops)
+        wide, e, code = (x[e - begin[wide] > 2] for x in (wide, e, code))
+        out[wide] |= np.isin(a[e - 3].astype(np.int64) << 16 | code, _wide_stops)
+    return out
+
+
+def _sentences(words: np.ndarray, ends: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """First words of sentences, of `limit` words at most where no mark ends them before."""
+    new = np.concatenate([[True], ends[:-1]])[: len(words)]
+    if len(words) >= limit:
+        h = words.view(np.int64)
+        before = np.concatenate([[0], np.cumsum(ends)])
+        low = _extreme(h, limit, np.minimum)
+        low[before[limit - 1 : -1] > before[: -limit]] = _least  # an end within
+        edge = np.full(limit - 1, _least)
+        new |= _extreme(np.concatenate([edge, low, edge]), limit, np.maximum) == h
+    return np.append(np.flatnonzero(new), len(words))
+
+
 def cut(text: str | None) -> Cut:
     raw = (text or "").encode("utf-8", "surrogatepass")
     a = np.frombuffer(raw, np.uint8)
@@ -74,33 +121,32 @@ def cut(text: str | None) -> Cut:
         new[wide] = ~space[1:][wide]
         over |= new & ~space[:-1]
     begin, end = np.flatnonzero(new), np.flatnonzero(over)
-    return Cut(raw, np.arange(len(begin) + 1), np.append(begin, len(raw)), _hashes(_weight[a], begin, end))
+    words = _hashes(_weight[a], begin, end)
+    return Cut(raw, np.append(begin, len(raw)), words, _sentences(words, _ends(a, begin, end)) if len(words) else np.zeros(1, np.int64))
 
 
-def runs(c: Cut, words: int = LEAST_WORDS) -> np.ndarray:
-    """Signed 64-bit hash of each run of so many consecutive words, by its first word."""
-    i = np.arange(max(0, len(c.words) - words + 1))
-    return _hashes(c.words, i, i + words).view(np.int64)
+def runs(c: Cut) -> np.ndarray:
+    """Signed 64-bit hash of each run of SENTENCES consecutive sentences."""
+    return _hashes(c.words, c.starts[:-SENTENCES], c.starts[SENTENCES:]).view(np.int64)
 
 
-def _extreme(h: np.ndarray, width: int, pick) -> np.ndarray:
-    """Least or greatest of each `width` values in a row."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        h, have = pick(h[: max(0, len(h) - step)], h[step:]), have + step
-    return h
+def spans(c: Cut, words: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Signed 64-bit hash of each span of so many words, by its first word; or of those at `at`."""
+    i = np.arange(max(0, len(c.words) - words + 1)) if at is None else at
+    return _hashes(c.words, i, i + words).view(np.int64)
 
 
-def chosen(c: Cut, words: int = LEAST_WORDS, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of runs of `run` words with the least hash of those in some span of `words`."""
-    run = min(run, words)
-    h, width = runs(c, run), words - run + 1
-    if len(h) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    edge = np.full(width - 1, np.iinfo(np.int64).min)
-    at = np.flatnonzero(_extreme(np.concatenate([edge, _extreme(h, width, np.minimum), edge]), width, np.maximum) == h)
-    return at, h[at]
+def likely(c: Cut, again: np.ndarray, words: int) -> np.ndarray:
+    """First words of spans that may stand elsewhere: those all of whose runs do. again: of each run.
+    Only runs count whose borders lie LIMIT words inside the span, where words outside can't shift
+    them; spans too short to hold one are all likely."""
+    p = np.arange(max(0, len(c.words) - words + 1))
+    b = c.starts
+    lo = np.searchsorted(b, p + (LIMIT - 1))
+    hi = np.maximum(lo, np.searchsorted(b, p + (words - LIMIT), "right") - SENTENCES)
+    bad = np.concatenate([[0], np.cumsum(~again)])
+    lo, hi = np.minimum(lo, len(again)), np.minimum(hi, len(again))
+    return p[bad[hi] == bad[lo]]
 
 
 def removed(c: Cut, starts: np.ndarray, words: int = LEAST_WORDS) -> list[tuple[int, int]]:
@@ -118,19 +164,12 @@ def _later(h: np.ndarray) -> np.ndarray:
     return more
 
 
-def _chosen_runs(words: int):
-    def f(batches: Batches) -> Batches:
-        for b in slices(batches):
-            docs, keys, again = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h, many = np.unique(chosen(cut(text), words)[1], return_counts=True)
-                docs.append(np.full(len(h), doc))
-                keys.append(h)
-                again.append(many > 1)
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, keys, again)], ["doc", "key", "again"])
-
-    return f
+def _counted_runs(batches: Batches) -> Batches:
+    for b in slices(batches, 1000, 0, 2 << 20):
+        found = [runs(cut(text)) for text in b.column(0).to_pylist()]
+        if found:
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32))], ["key", "n"])
 
 
 def _part(table: pa.Table) -> pa.Table:
@@ -139,45 +178,40 @@ def _part(table: pa.Table) -> pa.Table:
     return pa.table([table.column(0).slice(0, 1), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
 
-def _map_of(many: DataFrame) -> np.ndarray:
-    """Bit map of keys by their low BITS bits: the driver gets 2^BITS bits at most."""
+def _map_of(keys: DataFrame) -> np.ndarray:
+    """Bit map of keys (key) by their low BITS bits: the driver gets 2^BITS bits at most."""
     low = F.col("key").bitwiseAND((1 << BITS) - 1)
-    split = many.select(F.shiftright(low, PART).cast("int").alias("part"), low.bitwiseAND((1 << PART) - 1).cast("int").alias("bit")).distinct()
+    split = keys.select(F.shiftright(low, PART).cast("int").alias("part"), low.bitwiseAND((1 << PART) - 1).cast("int").alias("bit")).distinct()
     out = np.zeros((1 << BITS - PART, 1 << PART - 3), np.uint8)
     for r in split.groupBy("part").applyInArrow(_part, "part int, bits binary").toLocalIterator():
         out[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.ravel()
 
 
-def _spans(words: int, shared):
+def _set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys & ((1 << BITS) - 1)
+    return (bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _likely_spans(words: int, shared):
     def f(batches: Batches) -> Batches:
-        bits = shared.value
         for b in slices(batches, 200, 1, 1 << 20):
             docs, places, keys, again = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = cut(text)
-                least = _extreme(runs(c, min(RUN, words)), words - min(RUN, words) + 1, np.minimum)
-                low = least & ((1 << BITS) - 1)  # a span comes again only if its chosen run does
-                at = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(np.int32)
-                if not len(at):
-                    continue
-                h = runs(c, words)
-                h = h[at]
-                docs.append(np.full(len(h), doc))
-                places.append(at)
-                keys.append(h)
-                again.append(_later(h))
+                at = likely(c, _set(shared.value, runs(c)), words)
+                if len(at):
+                    h = spans(c, words, at)
+                    docs.append(np.full(len(h), doc))
+                    places.append(at.astype(np.int32))
+                    keys.append(h)
+                    again.append(_later(h))
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, places, keys, again)], ["doc", "place", "key", "again"])
 
     return f
 
 
-def _repeated(found: DataFrame) -> DataFrame:
-    many = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("more"))
-    return many.where("first != last or more").select("key", "first")
-
-
 def repeats(docs: DataFrame, words: int = LEAST_WORDS) -> DataFrame:
     """(doc, hits) of documents with spans that stand before: a hit is the place, and
     the low half of the key.
@@ -186,52 +220,86 @@ def repeats(docs: DataFrame, words: int = LEAST_WORDS) -> DataFrame:
     without doc_id or text take no part. Repeats inside a document are marked where it is read, so
     that joining documents takes sums of plain numbers only.
     """
+    spark = docs.sparkSession
     own = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    runs_found = map_batches(own, _chosen_runs(words), "doc long, key long, again boolean")
-    shared = docs.sparkSession.sparkContext.broadcast(_map_of(_repeated(runs_found)))
-    found = map_batches(own, _spans(words, shared), "doc long, place int, key long, again boolean")  # read twice: writing them takes more
-    many = written(_repeated(found))
-    later = found.join(many, "key").where(F.col("again") | (F.col("doc") != F.col("first")))
+    counted = map_batches(own.select("text"), _counted_runs, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    shared = spark.sparkContext.broadcast(_map_of(counted.where("n > 1")))
+    found = map_batches(own, _likely_spans(words, shared), "doc long, place int, key long, again boolean")  # read twice: writing them takes more
+    many = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("more"), F.count(F.lit(1)).alias("n"))
+    many = written(many.where("first != last or more").select("key", "first", "n"))
+    total = many.agg(F.sum("n")).first()[0] or 0
+    hot, salts = many.where(F.col("n") > max(1000, HOT * total)).select("key", F.lit(True).alias("hot")), partitions(spark)
+    found = found.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "place"), F.lit(salts)).cast("int")).otherwise(0))
+    many = many.join(F.broadcast(hot), "key", "left").select("key", "first", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    later = found.join(many, ["key", "salt"]).where(F.col("again") | (F.col("doc") != F.col("first")))
     hit = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("key").bitwiseAND(LOW))
     return later.groupBy("doc").agg(F.collect_list(hit).alias("hits"))
 
 
+def _mapped(ids: np.ndarray) -> np.ndarray:
+    return _mixed(ids.view(np.uint64)).view(np.int64)
+
+
+def _ids(batches: Batches) -> Batches:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_mapped(b.column(0).to_numpy()))], ["key"])
+
+
 def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """`docs` (with doc_id and text), text without passages that stand before, and
-    __removed: (start, end) of what went, in characters of the whole text.
+    """`docs` (with doc_id and text), text without passages that stand before, and as its last column
+    (start, end) of what went, in characters of the whole text. That column is __removed, with more
+    underscores where docs has one of that name.
 
     Null texts stay null; a text that is one passage becomes empty. The white space after a
-    passage goes with it. Repeated rows come back each; other columns stay as they are.
+    passage goes with it. Repeated rows come back each; other columns stay as they are. No rows: no
+    rows. Only texts of documents that may lose something are joined with their hits.
     """
-    hits = repeats(docs, least_words).withColumnsRenamed({"doc": "__doc", "hits": "__hits"})
-    joined = docs.join(hits, docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
+    gone, doc, hits = fresh(docs.columns, "__removed", "__doc", "__hits")
     names = docs.columns
-    at = names.index("text")
-
-    def f(batches: Batches) -> Batches:
+    at, key = names.index("text"), names.index("doc_id")
+    found = written(repeats(docs, least_words))
+    shared = docs.sparkSession.sparkContext.broadcast(_map_of(map_batches(found.select("doc"), _ids, "key long")))
+    fields = ", ".join(f"`{x.name.replace('`', '``')}` {x.dataType.simpleString()}" for x in docs.schema)
+    whole = f"{fields}, `{gone}` array<struct<start: int, end: int>>"
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def touched(b: pa.RecordBatch) -> np.ndarray:
+        ids = b.column(key).cast(pa.int64())
+        return _set(shared.value, _mapped(ids.fill_null(0).to_numpy(zero_copy_only=False))) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+    def untouched(batches: Batches) -> Batches:
+        for b in batches:
+            b = b.filter(pa.array(~touched(b)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[]] * b.num_rows, spans_type)], [*names, gone])
+
+    def looked_at(batches: Batches) -> Batches:
+        for b in batches:
+            yield b.filter(pa.array(touched(b)))
+
+    def taken(batches: Batches) -> Batches:
         for b in slices(batches, 1000, at):
-            texts, gone = b.column(at), [[] for _ in range(b.num_rows)]
-            hits = b.column(len(names))
-            if hits.null_count < b.num_rows:
-                texts = texts.to_pylist()
-                for i, h in enumerate(hits):
-                    if h.is_valid and texts[i]:
-                        c = cut(texts[i])
-                        keys = runs(c, least_words)
-                        h = h.values.to_numpy()
-                        h = h[h >> 32 < len(keys)]
-                        left, kept = 0, []
-                        for s, e in removed(c, np.unique(h[keys[h >> 32] & LOW == h & LOW] >> 32), least_words):
-                            s, e = int(c.at[c.first[s]]), int(c.at[c.first[e]])
-                            kept.append(c.raw[left:s])
-                            gone[i].append({"start": len(c.raw[:s].decode("utf-8", "surrogatepass")), "end": len(c.raw[:e].decode("utf-8", "surrogatepass"))})
-                            left = e
-                        if left:
-                            texts[i] = (b"".join(kept) + c.raw[left:]).decode("utf-8", "surrogatepass")
-                texts = pa.array(texts, pa.string())
+            texts, lost = b.column(at).to_pylist(), [[] for _ in range(b.num_rows)]
+            for i, h in enumerate(b.column(len(names))):
+                if h.is_valid and texts[i]:
+                    texts[i], lost[i] = without(cut(texts[i]), h.values.to_numpy(), least_words)
             columns = list(b.columns[: len(names)])
-            columns[at] = texts
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [*names, "__removed"])
-
-    fields = [f"`{x.name.replace('`', '``')}` {x.dataType.simpleString()}" for x in docs.schema]
-    return map_batches(joined, f, ", ".join([*fields, "__removed array<struct<start: int, end: int>>"]))
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, spans_type)], [*names, gone])
+
+    some = map_batches(docs, looked_at, fields)
+    some = some.join(found.withColumnsRenamed({"doc": doc, "hits": hits}), some["doc_id"] == F.col(f"`{doc}`"), "left").drop(doc)
+    return map_batches(docs, untouched, whole).union(map_batches(some, taken, whole))
+
+
+def without(c: Cut, hits: np.ndarray, words: int) -> tuple[str, list[dict[str, int]]]:
+    """The text without the spans of `hits`, and what went. Hits of another text with that doc_id don't count."""
+    at = np.unique(hits >> 32)
+    at = at[at <= len(c.words) - words]
+    known = np.isin(at << 32 | spans(c, words, at) & LOW, hits)
+    left, kept, gone = 0, [], []
+    for s, e in removed(c, at[known], words):
+        s, e = int(c.at[s]), int(c.at[e])
+        kept.append(c.raw[left:s])
+        gone.append({"start": len(c.raw[:s].decode("utf-8", "surrogatepass")), "end": len(c.raw[:e].decode("utf-8", "surrogatepass"))})
+        left = e
+    return (b"".join(kept) + c.raw[left:]).decode("utf-8", "surrogatepass"), gone
