@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -105,8 +106,54 @@ def test_fillings_of_many_pieces(low, high, fewer):
 
 def test_completions_have_any_number_of_pieces():
     counts = {7: 3, 5: 9, 3: 2}
-    assert packing.completions(26, [7, 5, 3], counts)[0] == (7, 7, 7, 5) and (7, 5, 5, 3, 3, 3) not in packing.completions(26, [7, 5, 3], counts)
-    assert packing.completions(43, [5], {5: 8}) == [(5,) * 8]
+    got = list(packing.completions(26, [7, 5, 3], counts))
+    assert got[0] == (7, 7, 7, 5) and (7, 5, 5, 3, 3) not in got and None in got
+    assert [c for c in packing.completions(43, [5], {5: 8}) if c] == [(5,) * 8] and next(packing.completions(48, [12], {12: 16})) == (12,) * 4
+
+
+def optimum(items, cap):
+    """Fewest sequences, by dealing each item to every different place."""
+    items = sorted(items, reverse=True)
+
+    @cache
+    def deal(i, bins):
+        if i == len(items):
+            return len(bins)
+        rooms = {b for b in bins if b >= items[i]}
+        ways = [bins[: (k := bins.index(b))] + bins[k + 1 :] + (b - items[i],) for b in rooms] + [(*bins, cap - items[i])]
+        return min(deal(i + 1, tuple(sorted(x))) for x in ways)
+
+    return deal(0, ())
+
+
+@pytest.mark.parametrize("seed", range(220))
+def test_complete_is_optimal_on_small_instances(seed):
+    """Many of these need fillings that best fit doesn't find."""
+    r = random.Random(seed)
+    cap = r.choice([10, 17, 40, 100])
+    low, high = r.choice([(1, cap), (cap // 5, cap // 2), (cap // 4, cap // 2 + 2), (2, cap // 3)])
+    items = [r.randint(max(1, low), high) for _ in range(r.randint(1, 11))]
+    assert sum(m for _, m in packing.complete(Counter(items), cap, 100_000)) == optimum(items, cap)
+
+
+def test_bound_is_that_of_its_definition():
+    r = random.Random(5)
+    for _ in range(200):
+        cap = r.choice([10, 31, 100])
+        items = [r.randint(1, cap) for _ in range(r.randint(1, 30))]
+        want = -(-sum(items) // cap)
+        for k in range(cap // 2 + 1):
+            big, mid = [x for x in items if x > cap - k], [x for x in items if cap - k >= x and 2 * x > cap]
+            small = [x for x in items if 2 * x <= cap and x >= k]
+            want = max(want, len(big) + len(mid) + max(0, -(-(sum(small) - sum(cap - x for x in mid)) // cap)))
+        assert packing.lower_bound(Counter(items), cap) == want
+    assert packing.lower_bound({}, 10) == 0
+
+
+def test_equal_rows_are_dealt_over_tasks(spark):
+    rows = spark.createDataFrame([(7, 0, 0, 10, 5)] * 4000, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(6)
+    got = packing.pack(rows, 20).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 4000 and len({r["sequence_id"] for r in got}) == 2000 and {r["over_bound"] for r in got} == {0}
 
 
 def test_packing_edges(edge_docs, no_docs):
