@@ -35,7 +35,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand before go from text; rows of which nothing is left go."""
     out = spans.deduplicate(docs)
-    out = out.where(~((F.size("__removed") > 0) & (F.trim("text") == ""))).drop("__removed")
+    gone = out.columns[-1]
+    out = out.where(~((F.size(f"`{gone}`") > 0) & (F.trim("text") == ""))).drop(gone)
     return _counted(out, docs)
 
 
