@@ -26,9 +26,9 @@ from .common import Batches, bucket_of, fresh, map_batches, slices, thinned, wri
 PER_LANGUAGE, LANDMARKS = 1000, 24
 #: Languages that are learned at most, those with most rows, so that a dirty column stays bounded.
 LANGUAGES = 200
-#: A text is of no learned language where no one-versus-rest value of it is over this: they are
-#: fitted to 1 for a language's own texts and -1 for others.
-CLAIM = 0.0
+#: A text is of no learned language where fewer of its n-grams than this share occur in any landmark.
+#: Even one-word texts of a learned language have most of theirs; those in another script have none.
+KNOWN = 0.2
 UNDETERMINED = "und"
 #: What stands for all that is no letter; 21 bits hold any code point and it.
 BORDER, BITS = 0x110000, 21
@@ -67,7 +67,8 @@ class Model:
     weights: np.ndarray  # landmarks x languages
     languages: list[str]
 
-    def kernel(self, texts: list[str]) -> np.ndarray:
+    def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernels of each text with each landmark, and the share of its n-grams that some landmark has."""
         if not hasattr(self, "_at"):
             self._at = pd.Index(self.grams)
         rows = np.zeros((len(texts), len(self.grams)), np.float32)
@@ -77,24 +78,24 @@ class Model:
             at = self._at.get_indexer(has)
             rows[i, at[at >= 0]] = 1
             n[i] = max(1, len(has))
-        return (rows @ self.landmarks) / np.sqrt(n)[:, None]
+        return (rows @ self.landmarks) / np.sqrt(n)[:, None], rows.sum(1) / n
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_at"}
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score from 0 to 1, and the greatest one-versus-rest value; `und`, 0 and -1 for
+        """Language, score from 0 to 1, and the share of n-grams that landmarks know; `und`, 0 and 0 for
         null, for texts without a letter, and where no language was learned."""
-        names, score, claim = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), -1.0)
+        names, score, known = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         at = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if at and self.languages:
-            f = self.kernel([texts[i] for i in at]) @ self.weights
+            kernels, known[at] = self.kernel([texts[i] for i in at])
+            f = kernels @ self.weights
             p = np.exp(8 * (f - f.max(1, keepdims=True)))
             score[at] = (p / p.sum(1, keepdims=True)).max(1)
-            claim[at] = f.max(1)
             for i, k in zip(at, f.argmax(1), strict=True):
                 names[i] = self.languages[k]
-        return names, score, claim
+        return names, score, known
 
 
 def nystrom(has: list[np.ndarray], languages: list[str]) -> tuple[Model, np.ndarray]:
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, landma
     def sums(batches: Batches) -> Batches:
         total = np.zeros((m, m + k))
         for b in slices(batches, 64, 0):
-            x = shared.value.kernel(b.column(0).to_pylist())
+            x, _ = shared.value.kernel(b.column(0).to_pylist())
             y = np.full((len(x), k), -1.0)
             y[np.arange(len(x)), [at[v] for v in b.column(1).to_pylist()]] = 1
             total += x.T @ np.hstack([x, y])
@@ -166,14 +167,14 @@ def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, landma
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` (with text; other columns stay), and as its last three columns the language, its score
-    and its claim (see Model.predict). Repeated rows come back each."""
+    and the share of known n-grams (see Model.predict). Repeated rows come back each."""
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    at, new = names.index("text"), fresh(names, "__lang_pred", "__score", "__claim")
+    at, new = names.index("text"), fresh(names, "__lang_pred", "__score", "__known")
 
     def run(batches: Batches) -> Batches:
         for b in slices(batches, 64, at):
-            lang, score, claim = shared.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(claim)], [*names, *new])
+            lang, score, known = shared.value.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(known)], [*names, *new])
 
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema]
     return map_batches(docs, run, ", ".join([*fields, *(f"`{n}` {t}" for n, t in zip(new, ("string", "double", "double"), strict=True))]))
@@ -191,15 +192,15 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), F.col(got.columns[-3]).alias("lang_pred"), F.col(got.columns[-2]).alias("score"))
 
 
-def keep_identified(docs: DataFrame, claim: float = CLAIM, model: Model | None = None) -> DataFrame:
-    """Rows of `docs` (doc_id, text, lang) that some learned language claims, all columns as they are.
+def keep_identified(docs: DataFrame, least: float = KNOWN, model: Model | None = None) -> DataFrame:
+    """Rows of `docs` (doc_id, text, lang) that are in some learned language, all columns as they are.
 
     The model is the one given, or learned from all labelled rows. Rejected, so gone: null texts, texts
-    without a letter, and texts of which no one-versus-rest value is over `claim`, such as those in
+    without a letter, and texts of which less than `least` of the n-grams are known, such as those in
     a script that no learned language has. Where nothing could be learned (no column lang, no labels),
     texts with a letter stay. No rows: no rows; repeated rows stay each."""
     model = model or fit(docs, F.col("doc_id").isNotNull())
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     got = predict(docs, model)
-    return got.where((F.col(got.columns[-3]) != UNDETERMINED) & (F.col(got.columns[-1]) > claim)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return got.where((F.col(got.columns[-3]) != UNDETERMINED) & (F.col(got.columns[-1]) >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
