@@ -226,22 +226,25 @@ def test_hot_spans_and_reflowed_lines(spark, monkeypatch):
 
 
 def test_multi_sequence_order():
+    """The cells of least cost, in that order, up to the margin."""
     r = np.random.default_rng(5)
     x = r.normal(size=(40, 8))
-    index = vectors.Index(r.normal(size=(6, 4)), r.normal(size=(5, 4)), 9)
-    for q, got in zip(x, index.visited(x), strict=True):
-        a, b = vectors._squares(q[None, :4], index.left)[0], vectors._squares(q[None, 4:], index.right)[0]
-        every = sorted((a[i] + b[j], i * 5 + j) for i in range(6) for j in range(5))
-        assert got.tolist() == [k for _, k in every[:9]] == [i * 5 + j for i, j in vectors.multi_sequence(a, b, 9)]
-        assert got[0] == index.cell(q[None])[0]
+    for margin in (0.0, 1.5, 1e9):
+        index = vectors.Index(r.normal(size=(6, 4)), r.normal(size=(5, 4)), margin)
+        row, left, right = index.traverse(x)
+        for k, q in enumerate(x):
+            cost = {(i, j): ((q[:4] - index.left[i]) ** 2).sum() + ((q[4:] - index.right[j]) ** 2).sum() for i in range(6) for j in range(5)}
+            want = sorted((c for c in cost if cost[c] <= min(cost.values()) + margin + 1e-9), key=cost.get)
+            assert [*zip(left[row == k].tolist(), right[row == k].tolist(), strict=True)] == want
 
 
 def brute_vectors(x, threshold=0.9):
     ok = np.array([v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in x])
-    unit = np.zeros((len(x), 16))
+    wide = max((len(v) for v in x if v is not None), default=1)
+    unit, size = np.zeros((len(x), wide)), np.array([0 if v is None else len(v) for v in x])
     for i in np.flatnonzero(ok):
-        unit[i] = np.array(x[i], float) / np.linalg.norm(np.array(x[i], float))
-    near = (unit @ unit.T >= threshold) & ok[:, None] & ok[None]
+        unit[i, : size[i]] = np.array(x[i], float) / np.linalg.norm(np.array(x[i], float))
+    near = (unit @ unit.T >= threshold) & ok[:, None] & ok[None] & (size[:, None] == size[None])
     np.fill_diagonal(near, False)
     return near
 
@@ -263,3 +266,35 @@ def test_vector_links(spark):
     assert np.mean([got[i]["component_id"] == want[i] for i in range(len(rows))]) > 0.9
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     assert [tuple(r) for r in vectors.near_duplicates(spark.createDataFrame([(1, None), (None, None)], "vec_id long, embedding array<float>")).orderBy("vec_id").collect()] == [(None, 0, None, False), (1, 0, 1, True)]
+
+
+@pytest.mark.parametrize("block", [40, 16_384])
+def test_vector_links_are_those_of_brute_force_in_one_cell_and_in_blocks(spark, monkeypatch, block):
+    """Every length is searched; groups of many vectors are split; near vectors are all found."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(90, 8))
+    x = [list(map(float, centres[i % 90] + r.normal(size=8) * 0.02)) for i in range(900)]
+    x += [list(map(float, r.normal(size=3))) for _ in range(60)] + [[0.5, 1.0, 2.0]] * 2 + [[3.0]] * 3 + [[1.0, 2.0], [2.0, 4.0]]
+    rows = [(i, v) for i, v in enumerate(x)]
+    got = {d["vec_id"]: d for d in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near = brute_vectors(x)
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == components(len(x), np.argwhere(near).tolist())
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, name):
+    """Of all links of brute force; the bound asked for is 0.9."""
+    table = spark.read.parquet(f"/root/testdata/{name}/embeddings.parquet")
+    rows = sorted((r["vec_id"], r["embedding"]) for r in table.select("vec_id", "embedding").collect())
+    near = brute_vectors([None if v is None else [None if c is None else np.float32(c) for c in v] for _, v in rows])
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(table).collect()}
+    links = np.array([got[i] for i, _ in rows])
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.98 * near.sum()
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, [1.0, 2.0]), (5, [1.0, 2.0]), (None, [9.0, 0.0]), (7, [2.0, 4.1])]
+    got = sorted(map(str, vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert [g.split("(")[1] for g in got] == ["vec_id=5, n_links=2, component_id=5, kept=True)", "vec_id=7, n_links=2, component_id=5, kept=False)", "vec_id=None, n_links=0, component_id=None, kept=False)", "vec_id=None, n_links=2, component_id=5, kept=False)"]
