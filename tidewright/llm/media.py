@@ -166,16 +166,20 @@ def payload(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (max(ROW, -(-len(raw) // ROW) * ROW) - len(raw)), len(raw)
 
 
-def store(raw: bytes) -> bytes:
-    """The payload as a grey map of 64 columns."""
-    return encode_pgm(np.frombuffer(raw, np.uint8).reshape(-1, ROW))
+FORMATS = {"pgm": encode_pgm, "bmp": encode_bmp}
 
 
-def media(docs: DataFrame, with_files: bool = False) -> DataFrame:
-    """Stored and read back: each row of `docs` (doc_id, text) as an image, with digests.
+def store(raw: bytes, form: str = "pgm") -> bytes:
+    """The payload as a grey image of 64 columns: a Netpbm grey map, or a bitmap of 8 bits."""
+    return FORMATS[form](np.frombuffer(raw, np.uint8).reshape(-1, ROW))
+
+
+def media(docs: DataFrame, form: str = "pgm", with_files: bool = False) -> DataFrame:
+    """Stored and read back: each row of `docs` (doc_id, text) as an image, with digests, its difference
+    hash and its NPY tile.
 
     A null text counts as empty: 64 zeros. Repeated rows come back each; equal texts have equal
-    values; other columns are not looked at. with_files adds the image and its NPY tile.
+    values; other columns are not looked at. with_files adds the image itself.
     """
 
     def run(batches: Batches) -> Batches:
@@ -183,17 +187,17 @@ def media(docs: DataFrame, with_files: bool = False) -> DataFrame:
             out: list[tuple] = []
             for text in b.column(1).to_pylist():
                 raw, n = payload(text)
-                stored = store(raw)
+                stored = store(raw, form)
                 image = decode(stored)
                 back = image.tobytes()
                 small = tile(image)
-                feature = f"{difference_hash(image)}-{zlib.crc32(small):08x}"
-                row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
-                out.append((*row, stored, small) if with_files else row)
+                marks = difference_hash(image)
+                row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{marks}-{zlib.crc32(small):08x}", marks, small)
+                out.append((*row, stored) if with_files else row)
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
 
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * 2 * with_files
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["image", "tile"] * with_files
-    types = ["long", "long", "string", "long", "long", "string", "string"] + ["binary"] * 2 * with_files
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()] + [pa.binary()] * with_files
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "difference_hash", "tile"] + ["image"] * with_files
+    types = ["long", "long", "string", "long", "long", "string", "string", "string", "binary"] + ["binary"] * with_files
     return map_batches(docs.select("doc_id", "text"), run, ", ".join(f"{n} {t}" for n, t in zip(["doc_id", *names], ["long", *types], strict=True)))

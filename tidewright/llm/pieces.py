@@ -132,17 +132,17 @@ class PieceModel:
         longest: list[str] = [""] * len(s)
         for end, p in self.automaton.iter(s):  # at each place, longer pieces end later
             longest[end + 1 - len(p)] = p
-        open_at, out, at, fits = (1 << len(s) + 1) - 1, [], 0, self.fits
+        failed, out, at, fits = bytearray(len(s) + 1), [], 0, self.fits
         token: str | None = longest[0]
         while at < len(s):
             last = out[-1] if out else None
             end = at + len(token)
-            if open_at >> end & 1 and (last is None or fits[f"{last}\n{token}"]):
+            if not failed[end] and (last is None or fits[f"{last}\n{token}"]):
                 out.append(token)
                 at = end
                 token = longest[at] if at < len(s) else None
             elif (token := self.shorter[token]) is None:
-                open_at &= ~(1 << at)
+                failed[at] = 1
                 token = out.pop()
                 at -= len(token)
         return out
@@ -157,7 +157,9 @@ class PieceModel:
             if got is not None:
                 return self._raw([got])
             return self._raw([self.byte[x] for x in s.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown])
-        if s.startswith(SPACE * 2) or "\n" in s:  # runs of marks have equal scores
+        # Merging alone settles runs of marks, whose pieces of 2, 4, 8 and more have equal scores, so that the
+        # leftmost merge and not a pair of pieces decides; and line feeds, which part the pairs' keys.
+        if s.startswith(SPACE * 2) or "\n" in s:
             return self._raw([self.id[p] for p in self.merged(s)])
         return b"".join([self.packed[p] for p in self.backtracked(s)])
 
