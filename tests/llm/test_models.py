@@ -37,7 +37,8 @@ def test_kernel_is_that_of_sets():
     texts = ["the sea", "die see", "море 𐐷𐐨"]
     model, _ = language.nystrom([np.sort(language.grams(t)) for t in texts], ["x"])
     for own in ("sea", "海 море", "e s"):
-        got = model.kernel([own])[0]
+        got, known = (x[0] for x in model.kernel([own]))
+        assert known == pytest.approx(len(gram_set(own) & set().union(*map(gram_set, texts))) / len(gram_set(own)))
         for k, t in enumerate(texts):
             a, b = gram_set(own), gram_set(t)
             assert got[k] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, abs=1e-5)
@@ -58,9 +59,10 @@ def test_language_model_against_plain_numpy(spark):
     x = vectors[:, values > 1e-6 * values.max()] * np.sqrt(values[values > 1e-6 * values.max()])  # x x' = k
     want = x @ np.linalg.solve(x.T @ x + 1e-3 * np.trace(x.T @ x) / x.shape[1] * np.eye(x.shape[1]), x.T @ y)
     assert model.languages == sorted(letters)
-    assert np.allclose(model.kernel([t for _, t, _ in rows]) @ model.weights, want, atol=2e-3)
-    names, score, claim = model.predict([t for _, t, _ in rows])
-    assert names == [sorted(letters)[i] for i in want.argmax(1)] and np.allclose(claim, want.max(1), atol=2e-3)
+    assert np.allclose(model.kernel([t for _, t, _ in rows])[0] @ model.weights, want, atol=2e-3)
+    names, score, known = model.predict([t for _, t, _ in rows])
+    p = np.exp(8 * want) / np.exp(8 * want).sum(1, keepdims=True)
+    assert names == [sorted(letters)[i] for i in want.argmax(1)] and np.allclose(score, p.max(1), atol=2e-2) and (known == 1).all()
 
 
 SCRIPTS = {"en": 0x61, "ru": 0x430, "el": 0x3B1, "ka": 0x10D0, "th": 0xE01, "hy": 0x561, "he": 0x5D0, "zh": 0x4E00, "xx": 0x10428}
@@ -80,7 +82,7 @@ def test_every_script_is_told_apart(spark):
         assert len(held) > 5 and np.mean(held) > 0.95, s
 
 
-def test_texts_that_no_learned_language_claims_go(spark, sf_more):
+def test_texts_in_no_learned_language_go(spark, sf_more):
     docs = spark.read.parquet(f"{sf_more}/documents.parquet").select("doc_id", "text", "lang", "source")
     assert language.keep_identified(docs).count() == docs.count()
     other = spark.createDataFrame([(100_000 + i, t, None, "s") for i, t in enumerate(texts_in("ka", 30, 1) + texts_in("zh", 30, 2))], docs.schema)
@@ -98,7 +100,7 @@ def test_language_edges(edge_docs, no_docs):
     by = {r["doc_id"]: r for r in rows}
     assert len(rows) == edge_docs.count() and all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (2, 3, 4, 7))
     kept = language.keep_identified(edge_docs)
-    assert kept.columns == edge_docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 5, 6, None, 8, 9, 10}
+    assert kept.columns == edge_docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 5, 6, None, 9, 10}  # 8 is in no language
 
 
 def test_quality_on_held_out_rows(spark, sf_more):
@@ -109,6 +111,39 @@ def test_quality_on_held_out_rows(spark, sf_more):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
 
 
+def test_isotonic_is_that_of_its_definition():
+    """Least squares under order: the greatest over starts of the least mean over ends."""
+    r = np.random.default_rng(2)
+    for _ in range(20):
+        n = int(r.integers(1, 30))
+        x, y = r.permutation(n).astype(float), r.integers(0, 2, n).astype(float)
+        knots, level = quality.isotonic(x, y)
+        at = y[np.argsort(x)]
+        plain = [max(min(at[i : j + 1].mean() for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+        size = [sum(p == q for q in plain) for p in plain]  # a level's rows are one block
+        want = [(p * s + 0.5) / (s + 1) for p, s in zip(plain, size, strict=True)]
+        assert np.interp(np.arange(n), knots, level) == pytest.approx(np.maximum.accumulate(want))
+
+
+def test_quality_fit_against_plain_numpy(spark, sf_more):
+    """All labelled rows at once, by the normal equations of the whole matrix."""
+    docs, labels = (spark.read.parquet(f"{sf_more}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = quality.fit(docs, labels, fold != 2, fold == 3)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = [(text[r["doc_id"]], r["quality"], zlib.crc32(str(r["doc_id"]).encode()) % 4) for r in labels.collect() if r["quality"] in (0, 1) and r["doc_id"] in text]
+    rows = [r for r in rows if r[2] != 2]
+    x, y, later = np.array([quality.statistics(t) for t, _, _ in rows]), np.array([q for _, q, _ in rows], float), np.array([k == 3 for _, _, k in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.sqrt(np.maximum(x.var(0), 1e-6)))
+    z = np.clip((x - x.mean(0)) / model.scale, -8, 8)
+    z = np.hstack([np.cos(z @ model.turn + model.phase) * np.sqrt(2 / len(model.phase)), z / 8, np.ones((len(z), 1))])
+    own = z[~later]
+    weights = np.linalg.solve(own.T @ own + 1e-4 * max(1.0, len(own)) * np.eye(own.shape[1]), own.T @ y[~later])
+    assert np.allclose(z @ model.weights, z @ weights, atol=1e-5)
+    knots, level = quality.isotonic(z[later] @ weights, y[later])
+    assert np.allclose(model.score([t for t, _, _ in rows]), np.clip(np.interp(z @ weights, knots, level), 0, 1), atol=1e-3)
+
+
 def test_quality_edges(spark, edge_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(1, 1, None), (5, 1, 0), (4, 0, 0), (7, 0, 0), (8, None, None), (None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
@@ -160,11 +195,15 @@ def test_tiles_are_npy_files():
     assert (np.load(io.BytesIO(media.npy(a))) == a).all()
 
 
-def test_media_edges(edge_docs, no_docs):
+@pytest.mark.parametrize("form", ["pgm", "bmp"])
+def test_media_edges(edge_docs, no_docs, form):
     assert media.media(no_docs).collect() == []
-    rows = media.media(edge_docs, with_files=True).collect()
+    rows = media.media(edge_docs, form, with_files=True).collect()
     texts = {r["doc_id"]: r["text"] for r in edge_docs.collect()}
-    assert len(rows) == len(edge_docs.collect())
+    assert len(rows) == len(edge_docs.collect()) and {bytes(r["image"][:2]) for r in rows} == {b"P5" if form == "pgm" else b"BM"}
+    for r in rows:
+        image = np.frombuffer(media.payload(texts[r["doc_id"]])[0], np.uint8).reshape(-1, 64)
+        assert bytes(r["tile"]) == media.tile(image) and r["feature"] == f"{r['difference_hash']}-{zlib.crc32(r['tile']):08x}" and r["difference_hash"] == media.difference_hash(image)
     for r in rows:
         raw, n = media.payload(texts[r["doc_id"]])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
@@ -213,6 +252,40 @@ def test_whole_secrets_however_long(spark):
     assert {x["doc_id"]: x["text"] for x in secrets.redact(docs).collect()} == {i: f"so {a}[secret]{b} ends" for i, (a, _, b) in enumerate(cases)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_nothing_of_a_secret_stays(spark, seed):
+    """No eight characters of planted secrets of up to 100,000."""
+    r = np.random.default_rng(seed)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    sets = {"any": lower + lower.upper() + "0123456789!#$%", "plain": lower + lower.upper() + "0123456789", "letters": lower + lower.upper()}
+    drawn = lambda kind, n: "".join(sets[kind][k] for k in r.integers(0, len(sets[kind]), n))
+    sizes = [12, 60, 700, 5000, 100_000]
+    cases = [(a, drawn(kind, max(n, least)), b) for n in sizes for a, kind, b, least in (("password=", "any", "", 12), ('api_key: "', "plain", '"', 20), ("token here ", "letters", "", 40), ("secret key ", "plain", "", 40))]
+    body = "\n".join(drawn("plain", 64) for _ in range(40))
+    cases.append(("", f"-----BEGIN OPENSSH PRIVATE KEY-----\n{body}\n-----END OPENSSH PRIVATE KEY-----", ""))
+    docs = spark.createDataFrame([(i, f"Some words go {a}{s}{b} and more come.") for i, (a, s, b) in enumerate(cases)], "doc_id long, text string")
+    for row in secrets.redact(docs).collect():
+        a, s, _ = cases[row["doc_id"]]
+        pieces = {s[k : k + 8] for k in range(len(s) - 7)}
+        assert not any(row["text"][k : k + 8] in pieces for k in range(len(row["text"]) - 7)), (a, len(s))
+        assert row["text"].startswith("Some words go ") and row["text"].endswith(" and more come.")
+
+
+def test_findings_that_begin_alike_have_their_own_forest(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    many = secrets.labelled_findings(300)
+    turned = many[:200] + [(m, a, b, 1 - k) for m, a, b, k in many[200:]]
+    assert secrets.trained(docs, many).trees != secrets.trained(docs, turned).trees
+
+
+def test_no_secrets_in_plain_words(spark):
+    r = np.random.default_rng(1)
+    syllables = "an be con der en fer ga ho in jo ka lo mi ne on pa que ra se ti un ver wa tion ent".split()
+    word = lambda: "".join(r.choice(syllables, r.integers(1, 12)))
+    rows = [(i, " ".join([*(word() for _ in range(80)), word().title() + word().title(), "=" * 40, "https://example.org/" + word() + "/" + word()])) for i in range(300)]
+    assert secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).count() <= 1
+
+
 def test_secret_places_in_long_lists(spark):
     text = " ".join(f"é token=%040x" % (i * 7919**5 + 1) for i in range(900))  # noqa: F541
     rows = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("finding").collect()

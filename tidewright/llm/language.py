@@ -15,7 +15,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ KNOWN = 0.2
 UNDETERMINED = "und"
 #: What stands for all that is no letter; 21 bits hold any code point and it.
 BORDER, BITS = 0x110000, 21
+#: Up to so many letters, n-grams of a text are marked in a table; up to this code point, so are letters.
+DENSE, FEW = 160, 0x3000
 _letter = re.compile(r"[^\W\d_]")
 _is_letter = np.zeros(BORDER, bool)
 
@@ -50,14 +51,29 @@ def grams(text: str, part: int = 1 << 20) -> np.ndarray:
     """The distinct n-grams of one to three letters of a text, with a border before and after each
     word; long texts are read `part` letters at a time."""
     units = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
-    units = np.where(_letters()[units], units, np.uint32(BORDER))
-    units = units[np.concatenate([[True], (units[1:] != BORDER) | (units[:-1] != BORDER)])]  # borders in a row are one
-    found = []
+    units = np.where(_letters()[units], units, 0)
+    units = units[np.concatenate([[True], (units[1:] != 0) | (units[:-1] != 0)])]  # borders in a row are one
+    letters = np.flatnonzero(np.bincount(units)) if units.max() < FEW else np.unique(units)
+    n, name = len(letters), np.where(letters > 0, letters, BORDER).astype(np.int64)
+    found = [name[letters > 0]]
+    place = np.zeros(FEW, np.int64)
+    if letters[-1] < FEW:
+        place[letters] = np.arange(n)
+    two, three = (np.zeros(n**k if n <= DENSE else 0, bool) for k in (2, 3))
     for at in range(0, len(units), part):
-        a = units[at : at + part + 2].astype(np.int64)
-        two = a[:-1] << BITS | a[1:]
-        found.append(pd.unique(np.concatenate([a[a != BORDER], two, two[:-1] << BITS | a[2:]])))
-    return found[0] if len(found) == 1 else pd.unique(np.concatenate(found))
+        a = units[at : at + part + 2]
+        a = place[a] if letters[-1] < FEW else np.searchsorted(letters, a)
+        pairs = a[:-1] * n + a[1:]
+        triples = pairs[:-1] * n + a[2:]
+        if n <= DENSE:
+            two[pairs] = True
+            three[triples] = True
+        else:
+            two, three = np.union1d(two, pairs).astype(np.int64), np.union1d(three, triples).astype(np.int64)
+    if n <= DENSE:
+        two, three = np.flatnonzero(two), np.flatnonzero(three)
+    found += [name[two // n] << BITS | name[two % n], (name[three // (n * n)] << BITS | name[three // n % n]) << BITS | name[three % n]]
+    return np.concatenate(found)
 
 
 @dataclass
@@ -69,20 +85,15 @@ class Model:
 
     def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Kernels of each text with each landmark, and the share of its n-grams that some landmark has."""
-        if not hasattr(self, "_at"):
-            self._at = pd.Index(self.grams)
         rows = np.zeros((len(texts), len(self.grams)), np.float32)
         n = np.empty(len(texts))
         for i, t in enumerate(texts):
             has = grams(t)
-            at = self._at.get_indexer(has)
-            rows[i, at[at >= 0]] = 1
+            at = np.minimum(np.searchsorted(self.grams, has), len(self.grams) - 1)
+            rows[i, at[self.grams[at] == has]] = 1
             n[i] = max(1, len(has))
         return (rows @ self.landmarks) / np.sqrt(n)[:, None], rows.sum(1) / n
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_at"}
-
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score from 0 to 1, and the share of n-grams that landmarks know; `und`, 0 and 0 for
         null, for texts without a letter, and where no language was learned."""

@@ -8,6 +8,7 @@ the driver from a bounded table of labelled findings and becomes nested conditio
 
 from __future__ import annotations
 
+import hashlib
 import random
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # fixed values: public formats of credentials and words that name them
 KEY_WORDS = "(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth[_-]?key|credential|bearer)"
 _HEAD, _TAIL = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----", r"-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
@@ -43,20 +46,20 @@ _GIVEN = (
     + "".join(rf"|{q}(?=[^{q}\r\n]{{6}})(?:[^{q}\\\r\n]++|\\.)*+(?={q})" for q in "\"'")
     + r"|[\"']?[^\s\"'<>,;]{6,}+"
 )
-#: A candidate, whole however long: a known format, a value given to a word that names secrets, or a
-#: long word with a digit.
+#: A candidate, whole however long: a known format, a value given to a word that names secrets, a
+#: long word with a digit or with capitals inside, or a very long one of any letters.
 CANDIDATE = (
     FORMATS["private_key"]
     + rf"|{_NAMED}(?:{_GIVEN})"
     + r"|" + FORMATS["jwt"]
     + r"|(?<![A-Za-z0-9])(?:" + "|".join(FORMATS[k] for k in ("aws_access_key", "github_token", "slack_token", "google_api_key")) + ")(?![A-Za-z0-9])"
-    + r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+    + r"|(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-]{16,}+|(?=(?:[A-Z+/_-]*+[a-z]++[A-Z]){3})[A-Za-z0-9+/_-]{20,}+|[A-Za-z+/_-]{32,}+)={0,2}"
 )
 VALUE = rf"^(?:{_NAMED}[\"']?)"
-#: Characters of text on each side that count as neighbouring words.
+#: Characters of text on each side whose whole words are the neighbouring words.
 CONTEXT = 48
 #: Labelled findings, trees, depth and threshold of the forest.
-FINDINGS, TREES, DEPTH, THRESHOLD = 4000, 20, 8, 0.5
+FINDINGS, TREES, DEPTH, THRESHOLD = 6000, 20, 8, 0.5
 NAMES = ("length", "digits", "uppers", "changes", "vowels", "dictionary", "marks", "path", "named", "near", "other", "format", "hex", "distinct")
 
 
@@ -65,7 +68,8 @@ def features(match: Column, before: Column, after: Column) -> Column:
     whole = F.regexp_replace(match, VALUE, "")
     value = F.regexp_replace(whole, rf"(?s)^({_HEAD}).*", "$1")  # a key is told by its header
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
-    near = F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), F.left(after, F.lit(CONTEXT)))
+    whole_words = lambda part, cut, edge: F.when(F.length(part) > CONTEXT, F.regexp_replace(cut(part, F.lit(CONTEXT + 1)), edge, "")).otherwise(part)
+    near = F.concat(whole_words(before, F.right, r"^\S+"), F.lit(" "), whole_words(after, F.left, r"\S+$"))
     words = F.lower(value)
     covered = F.length(value) - F.length(F.regexp_replace(words, "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))), ""))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[A-Z]+", "\u0001"), "[a-z]+", "\u0002"), "[0-9]+", "\u0003"), "[^\u0001-\u0003]+", "\u0004")
@@ -85,7 +89,7 @@ def features(match: Column, before: Column, after: Column) -> Column:
         flag(near.rlike(OTHER_WORDS)),
         flag(value.rlike("^(?:" + "|".join(FORMATS.values()) + ")$")),
         flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        F.array_size(F.array_distinct(F.split(F.left(value, F.lit(256)), ""))) / F.least(n, F.lit(64.0)),
+        F.array_size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)),
     )
     return F.struct(*(c.cast("double").alias(k) for k, c in zip(NAMES, got, strict=True)))
 
@@ -110,8 +114,12 @@ def labelled_findings(count: int = FINDINGS, seed: int = 3) -> list[tuple[str, s
         lambda: (named() + pick(hexes, 16, 64), ""),
         lambda: (named() + pick(mixed, 10, 48), ""),
         lambda: (named() + pick(mixed + "!#$%&*+-_", 8, 24), ""),
+        lambda: (named() + word() + pick(digits, 1, 4) + r.choice(["", "!", "!!", pick(lower, 2, 4)]), ""),
+        lambda: (named() + r.choice([str.upper, str.lower])(pick(hexes, 2, 4) * r.randint(5, 10)) + r.choice(["", "!", "!!"]), ""),
         lambda: (pick(mixed, 24, 64), r.choice(["key ", "secret key ", "bearer ", "token is "])),
         lambda: (pick(hexes, 32, 64), r.choice(["secret ", "api key ", "token "])),
+        lambda: (pick(lower + upper, 24, 64), r.choice(["token here ", "api key ", "secret ", "the token is "])),
+        lambda: (pick(r.choice([lower, upper]), 32, 64), r.choice(["token here ", "api key ", "secret ", "the token is "])),
     ]
     others = [
         lambda: (pick(hexes, 40), r.choice(["commit ", "sha1 ", "ref ", ""])),
@@ -125,6 +133,9 @@ def labelled_findings(count: int = FINDINGS, seed: int = 3) -> list[tuple[str, s
         lambda: (named() + r.choice(["changeme", "example", "your_password", "password", "your-token-here", "none_given", "secret_value", "insert_key_here", "test_user", "xxxxxxxx", "********"]), ""),
         lambda: (named() + word() + word() + word(), ""),
         lambda: (word() + "-" + word() + "-" + pick(digits, 4) + "-" + word() + "-" + word(), r.choice(["", "https://www.example.com/"])),
+        lambda: ("".join(word().title() for _ in range(r.randint(4, 6))), r.choice(["", "class ", "token "])),
+        lambda: (r.choice(["", "-", "_", "/"]).join(word() for _ in range(r.randint(6, 12))), r.choice(["", "key ", "path "])),
+        lambda: (r.choice("abxyzEM_-/") * r.randint(32, 90), r.choice(["", "key "])),
     ]
     rows = []
     for i in range(count):
@@ -204,7 +215,7 @@ def trained(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None =
     """Forest of labelled findings (match, before, after, label): those given or those made by rule.
 
     Their features come from the same expressions as the data's."""
-    key = repr(findings)[:200] if findings else ""
+    key = hashlib.sha256(repr(findings).encode("utf-8", "surrogatepass")).hexdigest() if findings else ""
     if key not in _forests:
         rows = findings or labelled_findings()
         given = docs.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, match string, before string, after string, label int")
@@ -224,18 +235,19 @@ def kind(match: Column) -> Column:
 def _computed(docs: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """docs with columns that are computed once: an optimizer that writes them into each place that
     uses them would split a text again for each of its candidates."""
-    names = list(columns)
-    made = docs.select(*(F.col(f"`{c}`") for c in keep), F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("__computed"))
-    return made.select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"__computed.{k}").alias(k) for k in names))
+    (all_,) = fresh([*keep, *columns], "__computed")
+    made = docs.select(*(F.col(f"`{c}`") for c in keep), F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias(all_))
+    return made.select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"{all_}.{k}").alias(k) for k in columns))
 
 
-def scored(docs: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
-    """Columns `keep` of `docs` (with text), and arrays: __parts (the text between candidates),
-    __found (candidates) and __score of each; null where a text has no candidate."""
+def scored(docs: DataFrame, forest: Forest, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """Columns `keep` of `docs` (with text), and three arrays whose names come back too: the text between
+    candidates, the candidates, and the score of each; null where a text has no candidate."""
+    parts, found, score = names = fresh(keep, "__parts", "__found", "__score")
     has, text = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False)), F.col("text")
-    out = _computed(docs, keep, __parts=F.when(has, F.split(text, CANDIDATE, -1)), __found=F.when(has, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))))
-    each = F.transform("__found", lambda m, i: features(m, F.get("__parts", i), F.get("__parts", i + 1)))
-    return _computed(out, [*keep, "__parts", "__found"], __score=F.transform(each, forest.score))
+    out = _computed(docs, keep, **{parts: F.when(has, F.split(text, CANDIDATE, -1)), found: F.when(has, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))})
+    each = F.transform(found, lambda m, i: features(m, F.get(parts, i), F.get(parts, i + 1)))
+    return _computed(out, [*keep, parts, found], **{score: F.transform(each, forest.score)}), names
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, forest: Forest | None = None) -> DataFrame:
@@ -246,7 +258,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, forest: Forest | None =
     and empty texts have no findings; repeated rows have theirs each; rows without doc_id keep a
     null one. Other columns are not looked at.
     """
-    own = scored(docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE)), forest or trained(docs), ["doc_id"])
+    own, _ = scored(docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE)), forest or trained(docs), ["doc_id"])
     own = own.where(F.exists("__score", lambda s: s >= threshold))
     sizes = F.transform("__parts", lambda p, i: F.length(p) + F.coalesce(F.length(F.get("__found", i)), F.lit(0)))
     # running sums over blocks of sizes: each candidate ends where the sizes up to it add up
@@ -272,14 +284,15 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, forest: Forest | None =
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD, forest: Forest | None = None) -> DataFrame:
-    """`docs` with each secret in text replaced by [secret]; all rows and columns stay, and rows
-    without secrets are as they were. Null texts stay null."""
-    out, text = scored(docs, forest or trained(docs), docs.columns), F.col("text")
+    """`docs` with each secret in text, however long, replaced by [secret]; all rows and columns stay,
+    and rows without secrets are as they were. Null texts stay null; no rows give no rows."""
+    out, (parts, found, score) = scored(docs, forest or trained(docs), docs.columns)
 
     def clean(p: Column, i: Column) -> Column:
-        m = F.get("__found", i)
+        m = F.get(found, i)
         named = F.regexp_extract(m, VALUE, 0)
-        return F.concat(p, F.coalesce(F.when(F.get("__score", i) >= threshold, F.concat(named, F.lit("[secret]"))).otherwise(m), F.lit("")))
+        return F.concat(p, F.coalesce(F.when(F.get(score, i) >= threshold, F.concat(named, F.lit("[secret]"))).otherwise(m), F.lit("")))
 
-    new = F.when(F.coalesce(F.exists("__score", lambda s: s >= threshold), F.lit(False)), F.array_join(F.transform("__parts", clean), "")).otherwise(text)
+    any_ = F.coalesce(F.exists(score, lambda s: s >= threshold), F.lit(False))
+    new = F.when(any_, F.array_join(F.transform(parts, clean), "")).otherwise(F.col("text"))
     return out.withColumn("text", new).select(*(F.col(f"`{c}`") for c in docs.columns))

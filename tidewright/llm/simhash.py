@@ -78,7 +78,8 @@ def decode(segments: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _table() -> np.ndarray:
     """decode() of all words of 22 bits."""
-    return decode(np.arange(1 << 22, dtype=np.int64)).astype(np.int16)
+    part = np.arange(1 << 18, dtype=np.int64)  # in parts, for memory
+    return np.concatenate([decode(part + at).astype(np.int16) for at in range(0, 1 << 22, 1 << 18)])
 
 
 def _segments(fp: np.ndarray) -> list[np.ndarray]:
