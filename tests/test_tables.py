@@ -91,7 +91,10 @@ def test_contacts_end_to_end(spark, tmp_path):
     assert execute.silent_edits(df, got.applied, got.plan) == []
     report.append_trace(spark, str(tmp_path / "trace"), report.trace(got.plan, log, 16, 0.0))
     assert json.loads(spark.read.text(str(tmp_path / "trace")).first()[0])["n_rows"] == 16
-    assert ir.span({"plan": got.plan, "change_log": log})["attributes"]["tidewright.silent_edits"] == 0
+    hidden = execute.silent_edits(df, got.applied, got.plan)
+    told = ir.span({"plan": got.plan, "change_log": log, "unaccounted": hidden})["attributes"]
+    assert told["tidewright.columns_changed_silently"] == [] and told["tidewright.logged"] and told["tidewright.cells_changed"] == sum(e.get("cells_changed", 0) for e in log) > 0
+    assert "tidewright.logged" not in ir.span({"plan": got.plan})["attributes"] and not ir.monitor(got.plan, log[:-1])["logged"]
     assert len(report.preview(got.applied.rows, 5)) == 5
     status = {r["status"]: r["n"] for r in report.aligned(df, got.applied.rows, ["name", "amount"]).groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert status["removed"] == 3
@@ -278,13 +281,16 @@ def test_plan_algebra():
     assert out["columns"][0]["operations"][2]["mapping"] == {"x": "X", "y": "Y"} and [o["op"] for o in out["table_operations"]] == ["resolve_by_majority"]
     assert a["columns"][0]["operations"][0]["mapping"] == {"x": "X"}
     voted, seen = ir.vote([a, a, b], 2)
-    assert ir.canon_pairs(voted) == {("c", "x", "X")} and seen["entries_union"] == 3
+    assert ir.canon_pairs(voted) == {("c", "x", "X")} and seen["proposed"] == 3 and seen["shares"] == {("c", "x", "X"): 0.667} and seen["by_votes"] == {2: 1, 1: 2}
+    every = ir.vote([a, b, b], 1)[0]
+    assert ir.canon_pairs(every) == {("c", "x", "no"), ("c", "y", "Y")} and [o["op"] for o in every["columns"][0]["operations"]] == ["fix_encoding", "strip_whitespace", "parse_date", "canonicalize_categories"]
     fixed = ir.calibrate(a, [(0, "c", "x", "Z"), (1, "c", "q", "Q"), (2, "c", "r", "1"), (3, "c", "r", "2"), (4, "e", "m", "M")])
     assert ir.canon_pairs(fixed) == {("c", "x", "Z"), ("c", "q", "Q"), ("e", "m", "M")}
     assert ir.canon_pairs(ir.constrain(b, {"c": {"y": {"Y"}}})) == {("c", "y", "Y")}
     assert ir.op_pairs(ir.cell_only(b)) >= {("*", "resolve_by_majority"), ("d", "flag_pii")} and ("*", "drop_empty_rows") not in ir.op_pairs(ir.cell_only(b))
     assert ir.op_pairs(ir.repairs_only(b)) == {("c", "canonicalize_categories")}
-    assert ir.monitor(b)["canonicalizations"] == 2 and ir.monitor(b)["pii_columns_flagged"] == 1
+    seen = ir.monitor({**b, "flags": [{"issue": "uncertain_canonicalization", "values": ["p", "q"]}, {"issue": "other", "values": ["r"]}]})
+    assert seen["mapped_values"] == 2 and seen["pii_columns"] == 1 and seen["unsure_share"] == 0.5 and seen["values_for_review"] == 3 and seen["columns_changed_silently"] is None
 
 
 def test_plan_text():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,6 +40,8 @@ GONE = "\u200b\u200c\u200d\ufeff"
 ELLIPSIS = "\u2026"
 MOJIBAKE = ("\u00c3", "\u00e2\u20ac", "\ufffd", "\u00ef\u00bb\u00bf")
 SPACE = r"[\s\x1c-\x1f]"
+#: The same, written out.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NUMBER = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMM-yyyy", "MMMM yyyy", "MMM yyyy", "yyyy-M-d H:m:s", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMdd", "yyyy-M")
 
@@ -49,7 +52,12 @@ def text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space, of any script, at both ends."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def token(c: Column) -> Column:
@@ -89,24 +97,27 @@ def to_double(s: Column) -> Column:
     return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 
-def parse_currency(c: Column, stripped: Column | None = None) -> Column:
+def parse_currency(c: Column) -> Column:
     """Number of a money text: brackets are negative, of two separators the later is the decimal
-    one, and a lone comma is decimal only before two last digits. Give the stripped cell where it
-    is a column already: it is used many times."""
-    raw = strip(c) if stripped is None else stripped
-    minus = raw.startswith("(") & raw.endswith(")")
-    s = strip(F.regexp_replace(F.regexp_replace(raw, r"^[()]+|[()]+$", ""), "[$£€]", ""))
+    one, and a lone comma is decimal only before two last digits."""
+
+    def number(raw: Column) -> Column:
+        return let(strip(F.translate(F.btrim(raw, F.lit("()")), "$£€", "")), lambda s: let(_plain(s), to_double))
+
+    return or_null(c, let(strip(c), lambda raw: F.when(raw.startswith("(") & raw.endswith(")"), -number(raw)).otherwise(number(raw))))
+
+
+def _plain(s: Column) -> Column:
+    """A number's text with a dot as its only separator."""
     last = lambda x: F.locate(x, F.reverse(s))  # noqa: E731  1 is the last character
     comma, dot = F.contains(s, F.lit(",")), F.contains(s, F.lit("."))
     european = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     grouped = F.replace(s, F.lit(","), F.lit(""))
-    plain = (
+    return strip(
         F.when(comma & dot, F.when(last(",") < last("."), european).otherwise(grouped))
         .when(comma, F.when(s.rlike(r"^\d{1,3},\d{2}$"), F.replace(s, F.lit(","), F.lit("."))).otherwise(grouped))
         .otherwise(s)
     )
-    value = to_double(strip(plain))
-    return or_null(c, F.when(minus, -value).otherwise(value))
 
 
 def parse_percent(c: Column) -> Column:
@@ -135,12 +146,13 @@ def date_fields(s: Column) -> Column:
     return F.when(s.rlike(r"^\d{1,2}[/\-]\d{1,2}[/\-](?:\d{2}|\d{4})$"), F.transform(F.split(F.translate(s, "-", "/"), "/"), lambda x: x.try_cast("int")))
 
 
-def parse_date(c: Column, stripped: Column | None = None, fields: Column | None = None) -> Column:
+def parse_date(c: Column) -> Column:
     """ISO date text: four or five digits are a spreadsheet's day number; a first field over 12 is a
-    day, else a month, with the other order if that gives no date; then the formats above. Give the
-    stripped cell and its date_fields where they are columns already: they are used many times."""
-    s = strip(c) if stripped is None else stripped
-    f = date_fields(s) if fields is None else fields
+    day, else a month, with the other order if that gives no date; then the formats above."""
+    return or_null(c, let(strip(c), lambda s: let(date_fields(s), lambda f: _iso(s, f))))
+
+
+def _iso(s: Column, f: Column) -> Column:
     a, b, y = F.get(f, 0), F.get(f, 1), F.get(f, 2)
     year = F.when(y < 69, y + 2000).when(y < 100, y + 1900).otherwise(y)
     made = lambda m, d: F.to_date(F.try_to_timestamp(F.concat_ws("-", F.lpad(text(year), 4, "0"), text(m), text(d)), F.lit("yyyy-M-d")))
@@ -149,7 +161,7 @@ def parse_date(c: Column, stripped: Column | None = None, fields: Column | None
     serial = F.date_add(F.lit("1899-12-30").cast("date"), F.when(s.rlike(r"^\d{4,5}$"), s.try_cast("int")))
     named = [F.to_date(F.try_to_timestamp(s, F.lit(k))) for k in DATE_FORMATS]
     words = F.when(s.rlike(r"\d{4}"), F.coalesce(*named))
-    return or_null(c, F.date_format(F.coalesce(serial, slashed, words), "yyyy-MM-dd"))
+    return F.date_format(F.coalesce(serial, slashed, words), "yyyy-MM-dd")
 
 
 def standardize_boolean(c: Column) -> Column:

@@ -18,21 +18,32 @@ def typo_merges(keys: DataFrame) -> DataFrame:
     the most frequent key one edit away that has two cells and twice as many at least."""
     a = keys.select("column", F.col("key").alias("a"), F.col("n").alias("na"))
     b = keys.where("n >= 2").select("column", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb"))
-    # One edit leaves the first or the second half as it is, but for one place's shift: halves as
-    # join keys make candidates without pairing all keys.
-    near = _halves(a, "a").join(_halves(b, "b").withColumnRenamed("column", "column_b"), (F.col("column") == F.col("column_b")) & (F.col("ha") == F.col("hb")))
+    near = near_keys(a, "a", True).join(near_keys(b, "b").withColumnsRenamed({"column": "column_b", "near": "near_b"}), (F.col("column") == F.col("column_b")) & (F.col("near") == F.col("near_b")))
     near = near.where((F.length("a") >= 5) & (F.col("a") != F.col("b")) & (F.col("nb") >= 2 * F.col("na")) & (F.levenshtein("a", "b", 1) == 1))
     return near.groupBy("column", F.col("a").alias("key")).agg(F.max(F.struct("nb", -F.col("fb"), "b")).alias("m")).select("column", "key", F.col("m.b").alias("into"))
 
 
-def _halves(df: DataFrame, name: str) -> DataFrame:
-    """Keys under which strings one edit apart meet: an edit in one half leaves the other's text, of
-    floor or ceiling of half the length, at its end of the string."""
-    n = F.length(name)
-    low = F.floor(n / 2).cast("int")
-    sizes = F.array_distinct(F.array(F.greatest(low - 1, F.lit(1)), F.greatest(low, F.lit(1)), F.floor((n + 1) / 2).cast("int")))
-    keys = F.concat(F.transform(sizes, lambda k: F.concat(F.lit("<"), F.left(F.col(name), k))), F.transform(sizes, lambda k: F.concat(F.lit(">"), F.right(F.col(name), k))))
-    return df.withColumn(f"h{name}", F.explode(F.array_distinct(keys)))
+def near_keys(df: DataFrame, name: str, asks: bool = False) -> DataFrame:
+    """df with a row for each key `near` of a text column; texts one edit apart share a key, if one
+    side asks.
+
+    A text is cut into 8 to 16 blocks, and a key is all of it but one block. The edit is in some
+    block, whose loss makes both texts equal, if one loses a character more or less where their
+    lengths differ: those who ask lose each. Keys hold nearly the whole text, so many values
+    with a common beginning or end don't meet.
+    """
+    text, n = F.col(name), F.length(name)
+    width = lambda k: F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(k, F.lit(8)) / 8.0))).cast("int")
+    widths = F.array_distinct(F.array(*(width(n + d) for d in ((-1, 0, 1) if asks else (0,)))))
+    losses = (-1, 0, 1) if asks else (0,)
+
+    def of_block(w: Column, i: Column) -> Column:
+        return F.array(*(F.xxhash64(w, i, F.substring(text, F.lit(1), w * i), F.substring(text, w * (i + 1) + 1 + d, n)) for d in losses))
+
+    def of_width(w: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / w).cast("int")), lambda i: of_block(w, i)))
+
+    return df.withColumn("near", F.explode(F.array_distinct(F.flatten(F.transform(widths, of_width)))))
 
 
 def frequency_mapping(counts: DataFrame) -> DataFrame:

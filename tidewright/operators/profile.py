@@ -70,43 +70,71 @@ def looks_like_date(s: Column) -> Column:
 
 
 def column_stats(freq: DataFrame) -> DataFrame:
-    """A row of counts, shares and signs for each column."""
-    freq = freq.select("ord", "column", "raw", "n", v.strip(F.col("raw")).alias("s")).withColumn("t", F.lower("s"))
-    freq = freq.withColumn("held", F.coalesce(~F.col("t").isin(*v.NULLS), F.lit(False)))
-    raw, n, held, s, t = (F.col(k) for k in ("raw", "n", "held", "s", "t"))
-    share = lambda p: F.coalesce(F.sum(F.when(held & F.coalesce(p, F.lit(False)), n)), F.lit(0)) / F.sum(F.when(held, n))
-    some = lambda p: F.coalesce(F.bool_or(F.coalesce(p, F.lit(False))), F.lit(False))
-    digits = F.length(v.digits(s))
+    """A row of counts, shares and signs for each column.
+
+    One chain of aggregates: over raw values by surface, surfaces by token, tokens by shape, shapes by
+    column. Each counts the rows of the one before, so no count of distinct values has to repeat rows.
+    """
+    raw, s, t, n, held = (F.col(k) for k in ("raw", "s", "t", "n", "held"))
+    some = lambda p: F.bool_or(F.coalesce(p, F.lit(False)))
+    many = lambda p, k="n": F.coalesce(F.sum(F.when(F.coalesce(p, F.lit(False)), F.col(k))), F.lit(0))
+    signs = ("spaced", "marked", "garbled", "given")
+    surfaces = freq.groupBy("ord", "column", v.strip(raw).alias("s")).agg(
+        F.sum("n").alias("n"),
+        some((raw != v.strip(raw)) | F.contains(raw, F.lit("  "))).alias("spaced"),
+        some(raw.rlike("[" + "".join(v.PLAIN) + v.GONE + v.ELLIPSIS + "]")).alias("marked"),
+        some(v.any_of([F.contains(raw, F.lit(m)) for m in v.MOJIBAKE])).alias("garbled"),
+        some(raw.isNotNull() & (v.strip(raw) != "")).alias("given"),
+    )
     flags = {
         "email": s.rlike(EMAIL),
         "percent": s.rlike(PERCENT),
-        "phone": s.rlike(PHONE) & (digits >= 7),
+        "phone": s.rlike(PHONE) & (F.length(v.digits(s)) >= 7),
         "phone_marks": s.rlike(r"[()+\-]"),
         "date": looks_like_date(s),
         "serial": s.rlike(SERIAL),
         "money": s.rlike(MONEY),
         "money_marks": s.rlike(r"[$(]"),
-        "country": t.isin(*v.COUNTRIES),
         "percent_sign": s.endswith("%"),
-        "boolean": t.isin(*v.TRUE_WORDS, *v.FALSE_WORDS),
     }
-    stats = freq.groupBy("ord", "column").agg(
+    digits = F.regexp_replace(s, r"(?U)\d", "D")
+    tokens = surfaces.groupBy("ord", "column", F.lower(s).alias("t")).agg(F.sum("n").alias("n"), F.count(s).alias("k"), *(F.bool_or(c).alias(c) for c in signs), *(many(p).alias(c) for c, p in flags.items()), F.min(digits).alias("least"), F.max(digits).alias("most"))
+    tokens = tokens.withColumn("held", F.coalesce(~t.isin(*v.NULLS), F.lit(False)))
+    names = list(dict.fromkeys(v.COUNTRIES.values()))
+    words = {"country": t.isin(*v.COUNTRIES), "boolean": t.isin(*v.TRUE_WORDS, *v.FALSE_WORDS)}
+    shapes = tokens.groupBy("ord", "column", F.when(held, v.date_shape(t)).alias("shape")).agg(
         F.sum("n").alias("n_total"),
-        F.coalesce(F.sum(F.when(~held, n)), F.lit(0)).alias("n_missing"),
-        F.count_distinct(F.when(held, s)).alias("n_unique"),
-        F.count_distinct(F.when(held, t)).alias("n_tokens"),
-        F.count_distinct(F.when(held, F.regexp_replace(s, r"(?U)\d", "D"))).alias("phone_shapes"),
-        F.count_distinct(F.when(held, v.country_of(t))).alias("n_canonical"),
-        *(share(p).alias(f"share_{k}") for k, p in flags.items()),
-        some(held & ((raw != s) | F.contains(raw, F.lit("  ")))).alias("has_whitespace"),
-        some(held & raw.rlike("[" + "".join(v.PLAIN) + v.GONE + v.ELLIPSIS + "]")).alias("has_punctuation"),
-        some(held & v.any_of([F.contains(raw, F.lit(m)) for m in v.MOJIBAKE])).alias("has_mojibake"),
-        some(~held & raw.isNotNull() & (s != "")).alias("has_disguised"),
+        many(held).alias("n_held"),
+        many(held, "k").alias("n_unique"),
+        F.count_if(held).alias("n_tokens"),
+        F.count_if(held & ~t.isin(*v.COUNTRIES)).alias("n_other"),
+        *(some(held & (v.country_of(t) == c)).alias(f"is_{i}") for i, c in enumerate(names)),
+        some(held & (F.col("k") > 1)).alias("cased"),
+        *(some(held & F.col(c)).alias(c) for c in signs[:3]),
+        some(~held & F.col("given")).alias("given"),
+        *(F.sum(F.when(held, F.col(c)).otherwise(0)).alias(c) for c in flags),
+        *(many(held & p).alias(c) for c, p in words.items()),
+        F.min(F.when(held, F.col("least"))).alias("least"),
+        F.max(F.when(held, F.col("most"))).alias("most"),
+    )
+    share = lambda k: F.try_divide(F.sum(k), F.sum("n_held"))
+    stats = shapes.groupBy("ord", "column").agg(
+        F.sum("n_total").alias("n_total"),
+        (F.sum("n_total") - F.sum("n_held")).alias("n_missing"),
+        F.sum("n_unique").alias("n_unique"),
+        F.sum("n_tokens").alias("n_tokens"),
+        (F.sum("n_other") + sum(F.bool_or(f"is_{i}").cast("int") for i in range(len(names)))).alias("n_canonical"),
+        *(share(k).alias(f"share_{k}") for k in (*flags, *words)),
+        (F.min("least") != F.max("most")).alias("mixed_phone_shapes"),
+        F.bool_or("spaced").alias("has_whitespace"),
+        F.bool_or("marked").alias("has_punctuation"),
+        F.bool_or("garbled").alias("has_mojibake"),
+        F.bool_or("given").alias("has_disguised"),
+        F.bool_or("cased").alias("has_casing"),
+        F.try_divide(F.max(F.when(F.col("shape").isNotNull(), F.col("n_held"))), F.sum("n_held")).alias("share_date_shape"),
+        F.count("shape").alias("date_shapes"),
     )
-    shapes = freq.where(held).groupBy("column", v.date_shape(raw).alias("shape")).agg(F.sum("n").alias("n"))
-    shapes = shapes.groupBy("column").agg((F.max("n") / F.sum("n")).alias("share_date_shape"), F.count(F.lit(1)).alias("date_shapes"))
-    cases = freq.where(held).groupBy("column", t.alias("token")).agg((F.count_distinct(s) > 1).alias("more")).groupBy("column").agg(F.bool_or("more").alias("has_casing"))
-    return stats.join(shapes, "column", "left").join(cases, "column", "left").withColumn("type", semantic_type()).withColumn("issues", issues())
+    return stats.withColumn("type", semantic_type()).withColumn("issues", issues())
 
 
 def semantic_type() -> Column:
@@ -141,7 +169,7 @@ def issues() -> Column:
         "numeric_stored_as_text": kind.isin("currency", "number", "percent"),
         "mixed_date_formats": (kind == "date") & (F.col("share_date_shape") < 0.9),
         "uniform_percent_convention": (kind == "percent") & (F.col("share_percent_sign") >= 0.9),
-        "inconsistent_formats": (kind == "phone") & (F.col("phone_shapes") > 1),
+        "inconsistent_formats": (kind == "phone") & F.coalesce("mixed_phone_shapes", F.lit(False)),
         "inconsistent_categories": kind.isin("categorical", "country") & (F.col("n_tokens") > F.col("n_canonical")),
     }
     return F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in found.items())))

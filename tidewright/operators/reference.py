@@ -97,7 +97,9 @@ def pairs(values: DataFrame, ref: Reference, floor: float = 0.0) -> DataFrame:
     ratio, pairs whose lengths alone keep them under it."""
     own = values.select("value", v.surface(F.col("value")).alias("nv")).where("nv != ''").distinct()
     a, b = F.length("nv"), F.length("norm")
-    near = own.join(ref.fuzzy, (F.substring("nv", 1, 1) == F.col("head")) & (F.abs(a - b) <= 1 + F.floor(a / 3)))
+    reach = (1 + F.floor(a / 3)).cast("int")
+    own = own.withColumn("size", F.explode(F.sequence(F.greatest(a - reach, F.lit(1)), a + reach)))  # each length that may match
+    near = own.join(ref.fuzzy, (F.substring("nv", 1, 1) == F.col("head")) & (F.col("size") == b))
     if floor:
         near = near.where(2 * F.least(a, b) / (a + b) >= floor)
     return near.select("value", "ctype", "canonical", "ord", ratio_udf("nv", "norm").alias("sim"))

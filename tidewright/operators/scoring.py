@@ -9,6 +9,9 @@ from ..functions import values as v
 from ..functions.python_only import WRONG_DECODING, ratio_udf
 from .profile import data_columns, frequencies, with_row_id
 
+#: Systems whose ranks are compared in pairs at most; rows of a slot in which random edits draw.
+SYSTEMS, SLOT_ROWS = 5000, 50_000
+
 
 def cell_equal(a: Column, b: Column) -> Column:
     """Both missing, numbers within a millionth, or the same text. `Nan` is text."""
@@ -213,7 +216,9 @@ def jensen_shannon(p: DataFrame, q: DataFrame, key: str) -> DataFrame:
 
 
 def kendall_tau(scores: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """One row: tau-b of two scores of a few systems, paired with each other."""
+    """One row: tau-b of two scores of up to SYSTEMS systems, paired with each other; an error for more."""
+    if scores.limit(SYSTEMS + 1).count() > SYSTEMS:
+        raise ValueError(f"ranks of more than {SYSTEMS} systems are not compared in pairs")
     a, b = scores.select(F.col(key).alias("i"), F.col(x).alias("xa"), F.col(y).alias("ya")), scores.select(F.col(key).alias("j"), F.col(x).alias("xb"), F.col(y).alias("yb"))
     dx, dy = F.signum(F.col("xa") - F.col("xb")), F.signum(F.col("ya") - F.col("yb"))
     got = a.join(b, F.col("i") < F.col("j")).agg(F.count(F.lit(1)).alias("n"), _many(dx == 0).alias("tx"), _many(dy == 0).alias("ty"), F.coalesce(F.sum(dx * dy), F.lit(0.0)).alias("s"))
@@ -303,13 +308,13 @@ def random_edits(df: DataFrame, share: float, seed: int) -> DataFrame:
     """A policy to be beaten: a share of all cells takes another row's value of its column, that of a
     row drawn by hash. Cells meet by a shuffled position, not in pairs."""
     df = with_row_id(df)
-    names = data_columns(df)
+    names, slots = data_columns(df), F.lit(max(256, df.count() // SLOT_ROWS))
     other = df.select("_rid", *(F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(names)))
     ordered = lambda d, salt: d.withColumn("__k", F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "_rid"), F.lit(1 << 40)))
-    slot = Window.partitionBy(F.pmod("__k", F.lit(256))).orderBy("__k", "_rid")
-    size = Window.partitionBy(F.pmod("__k", F.lit(256)))
-    a = ordered(df, "a").withColumn("__s", F.pmod("__k", F.lit(256))).withColumn("__i", F.row_number().over(slot))
-    b = ordered(other, "a").withColumn("__s", F.pmod("__k", F.lit(256))).withColumn("__n", F.count(F.lit(1)).over(size)).withColumn("__i", F.row_number().over(slot))
+    slot = Window.partitionBy(F.pmod("__k", slots)).orderBy("__k", "_rid")
+    size = Window.partitionBy(F.pmod("__k", slots))
+    a = ordered(df, "a").withColumn("__s", F.pmod("__k", slots)).withColumn("__i", F.row_number().over(slot))
+    b = ordered(other, "a").withColumn("__s", F.pmod("__k", slots)).withColumn("__n", F.count(F.lit(1)).over(size)).withColumn("__i", F.row_number().over(slot))
     b = b.withColumn("__i", F.pmod(F.col("__i"), F.col("__n")) + 1).drop("_rid", "__k", "__n")
     both = a.join(b, ["__s", "__i"], "left")
     out = [F.when(F.pmod(F.xxhash64(F.lit(seed), "_rid", F.lit(c)), F.lit(1_000_000)) < int(share * 1_000_000), F.coalesce(F.col(f"__o{i}"), F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`")).alias(c) for i, c in enumerate(names)]

@@ -50,7 +50,7 @@ def column_mapping(counts: DataFrame, least: int = 20) -> DataFrame:
     """(column, raw, canonical) that columns show on their own: spellings go to the most frequent of
     their letters and digits, then rare values to one three times as frequent that they are a
     spelling of. Only columns of 20 cells and 4 to 0.7 n values, with two entries at least."""
-    from ..operators.canon import _halves
+    from ..operators.canon import near_keys
 
     shape = counts.groupBy("column").agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("values")).where((F.col("cells") >= least) & (F.col("values") >= 4) & (F.col("values") <= 0.7 * F.col("cells")))
     mine = counts.join(F.broadcast(shape.select("column")), "column").withColumn("norm", v.surface(F.col("value")))
@@ -58,7 +58,7 @@ def column_mapping(counts: DataFrame, least: int = 20) -> DataFrame:
     same = mine.join(top, ["column", "norm"]).where(F.col("value") != F.col("canonical")).select("column", F.col("value").alias("raw"), "canonical")
     rare = mine.join(same.select("column", F.col("raw").alias("value")), ["column", "value"], "left_anti").where((F.col("n") < 3) & (F.col("norm") != "")).select("column", "value", "n", "norm")
     goals = top.where(F.col("norm") != "").select(F.col("column").alias("c2"), F.col("norm").alias("goal"), "canonical", "n_canonical", "order")
-    near = _halves(rare, "norm").join(_halves(goals, "goal"), (F.col("column") == F.col("c2")) & (F.col("hnorm") == F.col("hgoal")))
+    near = near_keys(rare, "norm", True).join(near_keys(goals, "goal").withColumnRenamed("near", "near_goal"), (F.col("column") == F.col("c2")) & (F.col("near") == F.col("near_goal")))
     near = near.where((F.col("norm") != F.col("goal")) & (F.col("n_canonical") >= 3 * F.col("n")) & (F.levenshtein("norm", "goal", 1) == 1)).where(scoring.is_variant(F.col("value"), F.col("canonical")))
     typos = near.groupBy("column", F.col("value").alias("raw")).agg(F.max(F.struct("n_canonical", "order", "canonical")).alias("m")).select("column", "raw", F.col("m.canonical").alias("canonical"))
     every = same.unionByName(typos)
@@ -66,12 +66,12 @@ def column_mapping(counts: DataFrame, least: int = 20) -> DataFrame:
     return every.join(F.broadcast(many), "column")
 
 
-def embedded_alerts(df: DataFrame, plan: dict, looked: int = 400) -> DataFrame:
-    """(column, pii_type, count, example): cards and SSNs inside the first cells of columns that the
-    plan hasn't typed as personal data; the example is masked."""
+def embedded_alerts(df: DataFrame, plan: dict, looked: int | None = 400) -> DataFrame:
+    """(column, pii_type, count, example): cards and SSNs inside the first `looked` cells, or with None
+    all cells, of columns that the plan hasn't typed as personal data; the example is masked."""
     typed = {c["name"] for c in plan.get("columns", []) if any("pii" in o["op"] for o in c["operations"])}
     names = [c for c in data_columns(df) if c not in typed]
-    df = with_row_id(df).orderBy("_rid").limit(looked)
+    df = with_row_id(df) if looked is None else with_row_id(df).orderBy("_rid").limit(looked)
     found = df.select("_rid", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell")) for c in names))))
     hits = found.select("_rid", "column", F.posexplode(pii.embedded(F.col("cell"))).alias("pos", "x"))
     by = hits.groupBy("column", F.col("x.pii_type").alias("pii_type")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_rid", "pos", "x.span")).alias("first"))

@@ -136,11 +136,6 @@ def _step(df: DataFrame, op: dict, old: str, new: str) -> DataFrame:
         table = df.sparkSession.createDataFrame(list(mapping.items()), "__raw string, __new string")
         out = df.withColumn("__key", F.when(~v.is_missing(cell), v.strip(cell))).join(table, F.col("__key") == F.col("__raw"), "left")
         return out.withColumn(new, F.coalesce("__new", cell)).drop("__key", "__raw", "__new")
-    if op["op"] == "parse_date":  # what is used many times is a column of its own, and so is computed once
-        wide = df.withColumn("__stripped", v.strip(cell)).withColumn("__fields", v.date_fields(F.col("__stripped")))
-        return wide.withColumn(new, v.parse_date(cell, F.col("__stripped"), F.col("__fields"))).drop("__stripped", "__fields")
-    if op["op"] in ("parse_currency", "parse_number"):
-        return df.withColumn("__stripped", v.strip(cell)).withColumn(new, v.parse_currency(cell, F.col("__stripped"))).drop("__stripped")
     return df.withColumn(new, cell_expression(op, cell))
 
 
@@ -167,7 +162,7 @@ def silent_edits(before: DataFrame, applied: Applied, plan: dict) -> list[str]:
     others = [c for c in data_columns(applied.rows) if c in before.columns and c not in named]
     if not others or "_rid" not in before.columns:
         return []
-    was = before.select("_rid", *(F.col(f"`{c}`").alias(f"__b{i}") for i, c in enumerate(others)))
-    both = applied.rows.join(was, "_rid")
-    got = both.agg(*(F.coalesce(F.bool_or(~F.col(f"`{c}`").eqNullSafe(F.col(f"__b{i}"))), F.lit(False)).alias(f"x{i}") for i, c in enumerate(others))).first()
+    text = lambda df, name: df.select("_rid", *(rendered(F.col(f"`{c}`"), dict(df.dtypes)[c]).alias(f"{name}{i}") for i, c in enumerate(others)))
+    both = text(applied.rows, "now").join(text(before, "was"), "_rid")
+    got = both.agg(*(F.coalesce(F.bool_or(~F.col(f"now{i}").eqNullSafe(F.col(f"was{i}"))), F.lit(False)).alias(f"x{i}") for i in range(len(others)))).first()
     return [c for i, c in enumerate(others) if got[f"x{i}"]]

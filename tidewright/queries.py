@@ -52,6 +52,21 @@ def missing_sql(c: str) -> str:
     return f"({c} IS NULL OR lower(trim({c})) IN {NULLS})"
 
 
+#: SQL for the matching-blocks similarity of each pair (a, b) of a table p: the longest common block,
+#: the first of equal ones, then those left and right of it. A query with it begins WITH RECURSIVE.
+RATIO = """seg AS (SELECT a, b, 0 AS alo, length(a) AS ahi, 0 AS blo, length(b) AS bhi, 0 AS gain FROM p
+ UNION ALL SELECT a, b, unnest([alo, i + k]), unnest([i, ahi]), unnest([blo, j + k]), unnest([j, bhi]), unnest([k, 0]) FROM (
+  SELECT *, best // 1000000 + (best % 1000000 > 0)::INT AS k, ((best // 1000000 + (best % 1000000 > 0)::INT) * 1000000 - best) // 1000 AS i, ((best // 1000000 + (best % 1000000 > 0)::INT) * 1000000 - best) % 1000 AS j FROM (
+   SELECT *, list_max(flatten(list_transform(range(alo, ahi), lambda x: list_transform(range(blo, bhi), lambda y:
+     list_max(list_transform(range(0, least(ahi - x, bhi - y) + 1), lambda n: CASE WHEN a[x + 1:x + n] = b[y + 1:y + n] THEN n ELSE 0 END)) * 1000000 - x * 1000 - y)))) AS best
+   FROM seg WHERE alo < ahi AND blo < bhi) WHERE best > 0)),
+r AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * sum(gain) / (length(a) + length(b)) END::DOUBLE AS ratio FROM seg GROUP BY a, b)"""
+
+
+def surface_sql(c: str) -> str:
+    return f"lower(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+
+
 # Profiles.
 
 
@@ -85,27 +100,64 @@ def table_counts(spark, sf_dir):
     return profile.table_counts(table(spark, sf_dir, "documents", "CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS a", "CASE WHEN doc_id % 10 = 0 THEN '' ELSE lang END AS b"))
 
 
+#: Columns of several types, some of them with a share of other values: as both engines write them.
+TYPED = {
+    "flag": "CASE WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'N' END",
+    "priority": "o_orderpriority",
+    "contact": "'user' || o_custkey || '@mail.com'",
+    "sometimes": "CASE WHEN o_orderkey % 2 = 0 THEN 'user' || o_custkey || '@mail.com' ELSE 'call ' || o_custkey END",
+    "phone": "'(555) ' || lpad('' || o_custkey % 1000, 3, '0') || '-1234'",
+    "amount_id": "'' || o_custkey",
+    "zip": "lpad('' || o_custkey % 1000, 5, '9')",
+    "rate": "CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE o_orderkey % 90 || '.5 %' END",
+    "host": "'10.0.' || o_custkey % 200 || '.' || o_orderkey % 250",
+    "ssn": "lpad('' || o_custkey % 1000, 3, '1') || '-4' || o_orderkey % 10 || '-' || lpad('' || o_custkey, 4, '7')",
+    "note": "'note no. ' || o_orderkey",
+    "serial": "'' || (40000 + o_custkey)",
+    "day_of_order": "'' || (40000 + o_custkey)",
+}
+
+
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(
-        spark, sf_dir, "orders", "o_orderkey AS _rid", "CASE WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'N' END AS flag", "date_format(o_orderdate, 'M/d/yyyy') AS day", "o_orderpriority AS priority",
-        "'user' || o_custkey || '@mail.com' AS contact", "'(555) ' || lpad(o_custkey % 1000, 3, '0') || '-1234' AS phone", "cast(o_custkey AS STRING) AS amount_id", "'note no. ' || o_orderkey AS note",
-    )
+    return table(spark, sf_dir, "orders", "o_orderkey AS _rid", *(f"{x} AS {c}" for c, x in TYPED.items()))
+
 
+LONG_TYPED = " UNION ALL ".join(f"SELECT '{c}' AS col, o_orderkey AS rid, {x} AS raw FROM orders" for c, x in TYPED.items())
+#: Of a table l (col, rid, raw): the type of each column, by the ordered rules.
+TYPES = rf"""m AS (SELECT col, rid, raw, trim(raw) AS s, lower(trim(raw)) AS t FROM l), h AS (SELECT * FROM m WHERE NOT {missing_sql("raw")}),
+sh AS (SELECT col, count(*) AS n, count(DISTINCT t) AS tokens, avg(regexp_matches(s, '^[^@\s]+@[^@\s]+\.[^@\s]+$')::INT) AS email, avg(regexp_matches(s, '^\s*-?\d[\d.,]*\s*%\s*$')::INT) AS percent, avg((t IN ('yes','y','true','t','1','✓','no','n','false','f','0'))::INT) AS bool,
+ avg((regexp_matches(s, '^[+(]?\d[\d\s().\-]{{6,}}$') AND length(regexp_replace(s, '[^0-9]', '', 'g')) >= 7)::INT) AS phone, avg(regexp_matches(s, '[()+\-]')::INT) AS marks, avg(regexp_matches(s, '^\d{{4,5}}$')::INT) AS serial,
+ avg((regexp_matches(s, '^\d{{4}}-\d{{1,2}}-\d{{1,2}}$|^\d{{1,2}}[/\-]\d{{1,2}}[/\-]\d{{2,4}}$|^\d{{1,2}}\s+[A-Za-z]{{3,9}}\s+\d{{2,4}}$|^[A-Za-z]{{3,9}}[\s\-]\d{{2,4}}$') OR (regexp_matches(s, '^\d{{4,5}}$') AND TRY_CAST(s AS INT) BETWEEN 36000 AND 50000))::INT) AS date,
+ avg(regexp_matches(s, '^\s*[($]?\s*-?\d[\d.,]*\s*\)?\s*$')::INT) AS money, avg(regexp_matches(s, '[$(]')::INT) AS money_marks, avg((t IN ({", ".join(f"'{k}'" for k in v.COUNTRIES)}))::INT) AS country FROM h GROUP BY col),
+ty AS (SELECT col, n, tokens, CASE WHEN email > 0.7 THEN 'email' WHEN percent > 0.6 THEN 'percent' WHEN bool = 1 THEN 'boolean' WHEN regexp_matches(lower(col), 'zip|postal|zcta') THEN 'text'
+ WHEN phone > 0.6 AND (regexp_matches(lower(col), 'phone|tel') OR marks > 0.3) THEN 'phone' WHEN date > 0.6 THEN CASE WHEN serial > 0.9 AND NOT regexp_matches(lower(col), 'date|time|day|created|updated|modified|dob') THEN 'number' ELSE 'date' END
+ WHEN money > 0.6 THEN CASE WHEN money_marks > 0.1 OR regexp_matches(lower(col), 'amount|price|revenue|cost') THEN 'currency' ELSE 'number' END WHEN (contains(lower(col), 'country') OR country = 1) AND country > 0.5 THEN 'country'
+ WHEN tokens <= greatest(10, floor(0.3 * n)) AND tokens < n THEN 'categorical' ELSE 'text' END AS type FROM sh)"""
 
-@query("""SELECT * FROM (VALUES ('flag', 'boolean'), ('day', 'date'), ('priority', 'categorical'), ('contact', 'email'), ('phone', 'phone'), ('amount_id', 'currency'), ('note', 'text')) t("column", type)
-WHERE (SELECT count(*) FROM orders) > 100""")
+
+@query(f"""WITH l AS ({LONG_TYPED}), {TYPES} SELECT col AS "column", type FROM ty""")
 def semantic_types(spark, sf_dir):
     return profile.column_stats(profile.frequencies(typed(spark, sf_dir))).select("column", "type")
 
 
-@query("""SELECT * FROM (VALUES ('contact', 'email', 1.0::DOUBLE, false), ('phone', 'phone', 1.0::DOUBLE, false)) t("column", pii_type, hit_rate, checksum) WHERE (SELECT count(*) FROM orders) > 100""")
+@query(rf"""WITH l AS ({LONG_TYPED}), d AS (SELECT col, trim(raw) AS s, min(rid) AS first FROM l WHERE NOT {missing_sql("raw")} GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY first, s) AS k FROM d),
+c AS (SELECT col, count(*) AS n, avg(regexp_matches(s, '^\d{{3}}-\d{{2}}-\d{{4}}$')::INT) AS ssn, avg(regexp_matches(s, '^[^@\s]+@[^@\s]+\.[^@\s]{{2,}}$')::INT) AS email,
+ avg(coalesce(len(string_split(s, '.')) = 4 AND list_bool_and(list_transform(string_split(s, '.'), lambda x: regexp_matches(x, '^\d{{1,3}}$') AND TRY_CAST(x AS INT) <= 255 AND (length(x) = 1 OR x[1:1] <> '0'))), false)::INT) AS ip_address,
+ avg((regexp_matches(s, '^\+?[\d(][\d\s().\-]{{6,18}}\d$') AND NOT regexp_matches(s, '^\d{{3}}-\d{{2}}-\d{{4}}$') AND length(regexp_replace(s, '[^0-9]', '', 'g')) BETWEEN 7 AND 15)::INT) AS phone,
+ avg((regexp_matches(s, '^\d[\d \-]{{11,21}}\d$') OR regexp_matches(upper(s), '^[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}$'))::INT) AS with_checksum FROM f WHERE k <= 80 GROUP BY col),
+u AS (SELECT col, n, k, rate, row_number() OVER (PARTITION BY col ORDER BY rate DESC, place) AS best FROM c, (SELECT unnest(['ssn', 'email', 'ip_address', 'phone']) AS k, unnest([1, 2, 3, 4]) AS place) x, LATERAL (SELECT CASE k WHEN 'ssn' THEN ssn WHEN 'email' THEN email WHEN 'ip_address' THEN ip_address ELSE phone END AS rate))
+SELECT col AS "column", k AS pii_type, round(rate, 3) AS hit_rate, false AS checksum FROM u WHERE best = 1 AND rate >= 0.6 AND n >= 3""")
 def pii_column_types(spark, sf_dir):
     return profile.pii_types(profile.value_counts(profile.frequencies(typed(spark, sf_dir)))).select("column", "pii_type", "hit_rate", "checksum")
 
 
-@query()
+@query(f"""WITH d AS ({CUSTOMER}), l AS ({_long(("segment", "name"))}), {TYPES},
+k AS (SELECT col, max(surfaces) > 1 AS cased FROM (SELECT col, t, count(DISTINCT s) AS surfaces FROM h GROUP BY col, t) GROUP BY col),
+i AS (SELECT col, bool_or(NOT {missing_sql("raw")} AND (raw <> trim(raw) OR contains(raw, '  '))) AS spaced, bool_or({missing_sql("raw")} AND trim(raw) <> '') AS disguised FROM l GROUP BY col)
+SELECT col AS "column", type, concat_ws(',', CASE WHEN spaced THEN 'whitespace' END, CASE WHEN cased THEN 'casing' END, CASE WHEN disguised THEN 'disguised_nulls' END) AS issues FROM ty JOIN k USING (col) JOIN i USING (col)""")
 def column_issues(spark, sf_dir):
-    return profile.column_stats(profile.frequencies(customers(spark, sf_dir))).select("column", "type", "issues")
+    return profile.column_stats(profile.frequencies(customers(spark, sf_dir))).select("column", "type", F.array_join("issues", ",").alias("issues"))
 
 
 DATES = "CASE o_orderkey % 4 WHEN 0 THEN {iso} WHEN 1 THEN {slash} WHEN 2 THEN {word} ELSE {serial} END"
@@ -200,9 +252,9 @@ def canonicalize(spark, sf_dir):
     return x.select("c_custkey", v.canonicalize(F.col("x"), {"BUILDING": "Construction", "MACHINERY": "Machines"}).alias("value"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN replace(replace('Café ' || c_name || ' naïve', 'x', 'x'), '#', '#') ELSE c_name END AS value FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Café ' || c_name || ' naïve' WHEN c_custkey % 3 = 0 THEN 'Café ' || c_name ELSE c_name END AS value FROM customer""")
 def fix_encoding(spark, sf_dir):
-    x = table(spark, sf_dir, "customer", "c_custkey", "CASE WHEN c_custkey % 2 = 0 THEN 'CafÃ© ' || c_name || ' naÃ¯ve' ELSE c_name END AS x")
+    x = table(spark, sf_dir, "customer", "c_custkey", "CASE WHEN c_custkey % 2 = 0 THEN 'CafÃ© ' || c_name || ' naÃ¯ve' WHEN c_custkey % 3 = 0 THEN 'Café ' || c_name ELSE c_name END AS x")
     fixed = x.select("x").distinct().select("x", repaired_udf("x").alias("value"))
     return x.join(fixed, "x").select("c_custkey", "value")
 
@@ -223,25 +275,40 @@ def mask_pii(spark, sf_dir):
     return table(spark, sf_dir, "customer", "c_custkey", f"{CONTACT} AS x").select("c_custkey", pii.mask(F.col("x")).alias("value"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')) AS run FROM documents),
-d AS (SELECT doc_id, run, regexp_replace(run, '[ -]', '', 'g') AS digits FROM m), f AS (SELECT * FROM d WHERE length(digits) BETWEEN 13 AND 19),
-l AS (SELECT doc_id, digits, list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN digits[i:i]::INTEGER ELSE CASE WHEN digits[i:i]::INTEGER * 2 > 9 THEN digits[i:i]::INTEGER * 2 - 9 ELSE digits[i:i]::INTEGER * 2 END END)) % 10 AS rest FROM f)
-SELECT doc_id, digits FROM l WHERE rest = 0""")
+def luhn_sql(d: str) -> str:
+    digit = f"{d}[i:i]::INTEGER"
+    return f"list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 0 THEN {digit} ELSE CASE WHEN {digit} * 2 > 9 THEN {digit} * 2 - 9 ELSE {digit} * 2 END END)) % 10"
+
+
+#: Cards that pass their checksum, and SSN shapes, in texts: (doc_id, kind, place, span).
+EMBEDDED = rf"""m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')) AS run, generate_subscripts(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*'), 1) AS place FROM documents WHERE NOT {missing_sql("text")}),
+f AS (SELECT *, regexp_replace(run, '[ -]', '', 'g') AS digits FROM m),
+e AS (SELECT doc_id, 'credit_card' AS kind, place, run AS span, digits FROM f WHERE length(digits) BETWEEN 13 AND 19 AND {luhn_sql("digits")} = 0
+ UNION ALL SELECT doc_id, 'ssn', 1000000 + place, run, digits FROM f WHERE regexp_matches(run, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$'))"""
+#: A span with all but its last four digits hidden.
+HIDDEN = "list_aggregate(list_transform(range(1, length(span) + 1), lambda i: CASE WHEN span[i:i] BETWEEN '0' AND '9' AND length(regexp_replace(span[i + 1:], '[^0-9]', '', 'g')) >= 4 THEN '*' ELSE span[i:i] END), 'string_agg', '')"
+
+
+@query(f"WITH {EMBEDDED} SELECT doc_id, digits FROM e WHERE kind = 'credit_card'")
 def embedded_cards(spark, sf_dir):
     found = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(pii.embedded(F.col("text"))).alias("x")).where("x.pii_type = 'credit_card'")
     return found.select("doc_id", F.regexp_replace("x.span", "[ -]", "").alias("digits"))
 
 
-@query()
+@query(f"WITH {EMBEDDED} SELECT kind AS pii_type, count(*) AS n, min({HIDDEN}) AS example FROM e GROUP BY kind")
 def embedded_pii_alerts(spark, sf_dir):
-    found = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(F.explode(pii.embedded(F.col("text"))).alias("x"))
+    found = table(spark, sf_dir, "documents", "text").select(F.explode(pii.embedded(F.col("text"))).alias("x"))
     return found.groupBy(F.col("x.pii_type").alias("pii_type")).agg(F.count(F.lit(1)).alias("n"), F.min(pii.mask(F.col("x.span"))).alias("example"))
 
 
-@query("SELECT 'card' AS \"column\", count(*) AS cells, 0::BIGINT AS leaks FROM customer")
+#: A third of the cells were masked, a third weren't, and a third are no cards.
+LEFT = "CASE c_custkey % 3 WHEN 0 THEN '****-****-****-' || lpad('' || c_custkey % 10000, 4, '0') WHEN 1 THEN '4111-1111-1111-' || lpad('' || c_custkey % 10000, 4, '0') ELSE 'card ' || c_custkey END"
+
+
+@query(f"""WITH d AS (SELECT {LEFT} AS card FROM customer), n AS (SELECT CASE WHEN card LIKE '4%' THEN regexp_replace(card, '[ -]', '', 'g') ELSE '1' END AS digits, regexp_matches(card, '^[0-9][0-9 -]{{11,21}}[0-9]$') AS shaped FROM d)
+SELECT 'card' AS "column", count(*) AS cells, count(*) FILTER (WHERE shaped AND length(digits) BETWEEN 13 AND 19 AND {luhn_sql("digits")} = 0) AS leaks FROM n""")
 def pii_leaks(spark, sf_dir):
-    out = table(spark, sf_dir, "customer", "'4111 1111 1111 1111' AS card").select(pii.mask(F.col("card"), "credit_card").alias("card"))
-    return scoring.leak_rate(out, {"card": "credit_card"})
+    return scoring.leak_rate(table(spark, sf_dir, "customer", f"{LEFT} AS card"), {"card": "credit_card"})
 
 
 # Tables.
@@ -316,48 +383,106 @@ def typo_merge(spark, sf_dir):
 RARE = "CASE WHEN o_orderkey % 4999 = 7 THEN replace(o_orderpriority, 'I', 'J') WHEN o_orderkey % 4999 = 11 THEN o_orderpriority || 'x' ELSE o_orderpriority END"
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT o_orderkey, {TYPO} AS value FROM orders), n AS (SELECT value, count(*) AS n, min(o_orderkey) AS first FROM d GROUP BY value),
+o AS (SELECT *, {surface_sql("value")} AS norm, row_number() OVER (ORDER BY n DESC, first) AS place FROM n), c AS (SELECT * FROM o WHERE place <= 400),
+q AS (SELECT x.norm AS a, y.norm AS b, x.place, y.place AS earlier FROM c x JOIN c y ON y.place < x.place AND x.norm[1:1] = y.norm[1:1] AND abs(length(y.norm) - length(x.norm)) <= 1 + length(x.norm) // 3),
+p AS (SELECT DISTINCT a, b FROM q), {RATIO},
+near AS (SELECT place, list(earlier ORDER BY earlier) AS others FROM q JOIN r USING (a, b) WHERE ratio >= 0.82 GROUP BY place),
+st AS (SELECT 0::BIGINT AS place, []::BIGINT[] AS kept, NULL::BIGINT AS match UNION ALL
+ SELECT place, CASE WHEN match IS NULL THEN list_append(kept, place) ELSE kept END, match FROM (SELECT c.place, st.kept, list_filter(st.kept, lambda k: list_contains(coalesce(near.others, []), k))[1] AS match FROM st JOIN c ON c.place = st.place + 1 LEFT JOIN near ON near.place = c.place))
+SELECT 'priority' AS "column", x.value AS raw, y.value AS canonical FROM st JOIN c x ON x.place = st.place JOIN c y ON y.place = st.match""")
 def nearest_clusters(spark, sf_dir):
     return canon.nearest_mapping(_counts(table(spark, sf_dir, "orders", "o_orderkey AS _rid", f"{TYPO} AS priority")))
 
 
-PLACES = "CASE c_custkey % 9 WHEN 0 THEN 'Germny' WHEN 1 THEN 'FRANCE' WHEN 2 THEN 'Untied States' WHEN 3 THEN 'usa' WHEN 4 THEN 'Slovia' WHEN 5 THEN 'Brazl' WHEN 6 THEN 'qqq' WHEN 7 THEN 'N/A' ELSE 'Japan' END"
+RARE = RARE.replace("4999", "997")
+
+#: Names as they are, in lower case, with a letter less, by code, with a wrong letter, and words that are none.
+PLACES = "CASE k WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN substring(n_name, 1, 2) || substring(n_name, 4, 50) WHEN 3 THEN 'C' || n_nationkey WHEN 4 THEN substring(n_name, 1, length(n_name) - 1) || 'x' WHEN 5 THEN n_name ELSE 'zq' || n_nationkey END"
+WORD = "'w' || n_nationkey || substring(n_name, 1, k)"
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer", "c_custkey AS _rid", f"{PLACES} AS country")
+    return table(spark, sf_dir, "nation", "n_nationkey", "n_name", "explode(sequence(0, 6)) AS k").selectExpr("n_nationkey * 10 + k AS _rid", f"{PLACES} AS country", f"{WORD} AS word")
 
 
-@query()
+def nations(spark: SparkSession, sf_dir: str) -> reference.Reference:
+    names = table(spark, sf_dir, "nation", "'country' AS ctype", "n_name AS canonical", "true AS own", "n_name AS surface", "n_nationkey AS ord")
+    return reference.Reference(names.union(table(spark, sf_dir, "nation", "'country'", "n_name", "false", "'C' || n_nationkey", "n_nationkey")))
+
+
+#: Tables of the SQL: values w, with their surface, those that hit a name or code, and the similarity of others.
+PLACES_SQL = f"""u AS (SELECT n_nationkey * 10 + k AS rid, {PLACES} AS country, {WORD} AS word FROM nation, (SELECT unnest(range(7)) AS k)),
+l AS (SELECT 'country' AS col, rid, country AS value FROM u UNION ALL SELECT 'word', rid, word FROM u),
+n AS (SELECT col, value, count(*) AS n, min(rid) AS first FROM l GROUP BY ALL),
+w AS (SELECT DISTINCT value, {surface_sql("value")} AS nv FROM n WHERE @WHICH),
+v AS (SELECT n_name AS canonical, {surface_sql("n_name")} AS norm, n_nationkey AS ord FROM nation),
+hit AS (SELECT value, canonical FROM w JOIN (SELECT canonical, norm FROM v UNION ALL SELECT n_name, 'c' || n_nationkey FROM nation) ON nv = norm),
+q AS (SELECT value, nv AS a, norm AS b, canonical, ord FROM w JOIN v ON nv[1:1] = norm[1:1] AND abs(length(nv) - length(norm)) <= 1 + length(nv) // 3 AND 2.0 * least(length(nv), length(norm)) / (length(nv) + length(norm)) >= @FLOOR WHERE value NOT IN (SELECT value FROM hit)),
+p AS (SELECT DISTINCT a, b FROM q), {RATIO},
+ra AS (SELECT value, canonical, ord, ratio, row_number() OVER (PARTITION BY value ORDER BY ratio DESC, ord, canonical) AS k FROM q JOIN r USING (a, b) WHERE ratio > 0),
+best AS (SELECT value, canonical, 1.0::DOUBLE AS score, 1.0::DOUBLE AS margin FROM hit UNION ALL
+ SELECT x.value, x.canonical, round(x.ratio, 3), round(x.ratio - coalesce(y.ratio, 0), 3) FROM ra x LEFT JOIN ra y ON y.value = x.value AND y.k = 2 WHERE x.k = 1)"""
+
+
+def places_sql(which: str, floor: float) -> str:
+    return PLACES_SQL.replace("@WHICH", which).replace("@FLOOR", str(floor))
+
+
+@query(f"""WITH RECURSIVE {places_sql("col = 'country'", 0)} SELECT value, 'country' AS ctype, canonical, score, margin FROM best""")
 def reconcile_best(spark, sf_dir):
-    values = _counts(places(spark, sf_dir)).select("value")
-    return reference.best(values, reference.default_reference(spark))
+    return reference.best(_counts(places(spark, sf_dir)).where("column = 'country'").select("value"), nations(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {places_sql("col = 'country'", 0.6)} SELECT value, 1 AS place, canonical, 1.0::DOUBLE AS score FROM hit UNION ALL
+SELECT * FROM (SELECT value, row_number() OVER (PARTITION BY value ORDER BY round(ratio, 3) DESC, ord, canonical)::INT AS place, canonical, round(ratio, 3) AS score FROM ra WHERE ratio >= 0.6) WHERE place <= 3""")
 def reconcile_candidates(spark, sf_dir):
-    return reference.candidates(_counts(places(spark, sf_dir)).select("value"), reference.default_reference(spark), "country", 3)
+    return reference.candidates(_counts(places(spark, sf_dir)).where("column = 'country'").select("value"), nations(spark, sf_dir), "country", 3)
 
 
-@query("SELECT 'country' AS \"column\", 'country' AS ctype FROM customer LIMIT 1")
+@query(f"""WITH RECURSIVE {places_sql("true", 0.6)}, f AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY first, value) AS k FROM n)
+SELECT col AS "column", 'country' AS ctype FROM f LEFT JOIN best USING (value) WHERE k <= 80 GROUP BY col HAVING count(*) >= 4 AND count(*) FILTER (WHERE score >= 0.8) / count(*) >= 0.55""")
 def reference_typing(spark, sf_dir):
-    return reference.reference_types(_counts(places(spark, sf_dir)), reference.default_reference(spark))
+    return reference.reference_types(_counts(places(spark, sf_dir)), nations(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {places_sql("col = 'country' AND n < 3", 0.6)},
+z AS (SELECT value, n, first, regexp_replace(value, '[^\\p{{L}}]', '', 'g') AS letters FROM n WHERE col = 'country' AND regexp_matches(value, '^\\p{{L}}')),
+y AS (SELECT CASE WHEN lower(letters) = letters THEN 'lower' WHEN upper(letters) = letters THEN 'upper' ELSE 'other' END AS style, sum(n) AS n, min(first) AS first FROM z GROUP BY 1),
+x AS (SELECT style FROM y ORDER BY n DESC, first LIMIT 1),
+g AS (SELECT value, CASE style WHEN 'lower' THEN lower(canonical) WHEN 'upper' THEN upper(canonical) ELSE canonical END AS canonical, score, margin FROM best, x),
+h AS (SELECT *, CASE WHEN score >= 0.84 AND margin >= 0.03 THEN CASE WHEN canonical <> value THEN 'map' END WHEN score >= 0.70 THEN 'abstain' END AS decision FROM g)
+SELECT 'country' AS "column", value, canonical, score, margin, decision FROM h WHERE decision IS NOT NULL""")
 def grounded_mapping(spark, sf_dir):
-    counts = _counts(places(spark, sf_dir)).withColumn("n", F.lit(1))  # as if each spelling were rare
     types = spark.createDataFrame([("country", "country")], "column string, ctype string")
-    return reference.grounded(counts, reference.default_reference(spark), types).select("column", "value", "canonical", "score", "margin", "decision")
+    return reference.grounded(_counts(places(spark, sf_dir)), nations(spark, sf_dir), types).select("column", "value", "canonical", "score", "margin", "decision")
 
 
-@query()
+#: Pairs (value, n, canonical, n_canonical, a, b) of rare values and what they may stand for, with their similarity.
+SUSPECTS = f"""d AS (SELECT o_orderkey, {RARE} AS value FROM orders), c AS (SELECT value, count(*) AS n, min(o_orderkey) AS first, {surface_sql("value")} AS norm FROM d GROUP BY value),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY n DESC, first) AS k FROM c) WHERE k <= 60 AND n >= 2),
+q AS (SELECT x.value, x.n, y.value AS canonical, y.n AS n_canonical, x.norm AS a, y.norm AS b FROM c x JOIN top y ON x.value <> y.value WHERE x.n < 3 AND x.norm <> '' AND y.n >= greatest(2, 2 * x.n) AND x.norm[1:1] = y.norm[1:1]
+ AND abs(length(x.norm) - length(y.norm)) <= greatest(2, length(y.norm) // 4) AND 2.0 * least(length(x.norm), length(y.norm)) / (length(x.norm) + length(y.norm)) >= 0.6)"""
+
+
+@query(f"""WITH RECURSIVE {SUSPECTS}, p AS (SELECT DISTINCT a, b FROM q), {RATIO},
+s AS (SELECT value, n, canonical, round(ratio, 3) AS sim FROM q JOIN r USING (a, b) WHERE ratio >= 0.6),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY sim DESC, canonical) AS rank FROM s) WHERE rank <= 3),
+o AS (SELECT value, row_number() OVER (ORDER BY max(sim) DESC, value) AS place FROM t GROUP BY value)
+SELECT 'priority' AS "column", value AS raw, n, place::INT AS place, (rank - 1)::INT AS rank, canonical, sim FROM t JOIN o USING (value) WHERE place <= 40""")
 def suspect_pairs(spark, sf_dir):
     counts = _counts(table(spark, sf_dir, "orders", "o_orderkey AS _rid", f"{RARE} AS priority"))
-    return canon.ranked_pairs(canon.candidate_pairs(counts)).select("column", "raw", "n", "place", F.to_json("candidates").alias("candidates"))
+    each = canon.ranked_pairs(canon.candidate_pairs(counts)).select("column", "raw", "n", "place", F.posexplode("candidates").alias("rank", "c"))
+    return each.select("column", "raw", "n", "place", "rank", F.col("c.canon").alias("canonical"), F.col("c.sim").alias("sim"))
 
 
-@query()
+LETTERS = "lower(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))"
+
+
+@query(f"""WITH RECURSIVE {SUSPECTS}, p AS (SELECT a, b FROM q UNION SELECT {LETTERS.format("value")}, {LETTERS.format("canonical")} FROM q), {RATIO},
+s AS (SELECT q.*, x.ratio AS sim, y.ratio AS lettered, regexp_replace(value, '[^0-9]', '', 'g') AS da, regexp_replace(canonical, '[^0-9]', '', 'g') AS db FROM q JOIN r x USING (a, b) JOIN r y ON y.a = {LETTERS.format("value")} AND y.b = {LETTERS.format("canonical")} WHERE x.ratio >= 0.6),
+o AS (SELECT *, length(da) > 0 AND length(da) >= 0.15 * length(value) AND ({LETTERS.format("value")} = '' OR {LETTERS.format("canonical")} = '' OR lettered < 0.85 OR da <> db) AS off FROM s)
+SELECT 'priority' AS "column", value AS raw, canonical, CASE WHEN n >= 3 OR n_canonical < greatest(2, 2 * n) OR off THEN 0.0 ELSE round(CASE WHEN a = b THEN 1.0 ELSE sim END * (0.5 + 0.5 * least(1.0, n_canonical / (2.0 * n))), 4) END::DOUBLE AS confidence FROM o""")
 def entry_confidence(spark, sf_dir):
     counts = _counts(table(spark, sf_dir, "orders", "o_orderkey AS _rid", f"{RARE} AS priority"))
     return canon.scored_entries(canon.candidate_pairs(counts).select("column", "raw", "canonical"), counts).select("column", "raw", "canonical", "confidence")
@@ -375,7 +500,20 @@ def _plan_rows(spark: SparkSession, plan: dict) -> DataFrame:
     return spark.createDataFrame(rows, "column string, op string, entries string")
 
 
-@query()
+#: Of the orders as text: the type and signs of each column, from its cells.
+ORDERS_FACTS = f"""d AS (SELECT *, {PRIORITY} AS p, {DATES_SQL} AS dd, """ + MONEY.format(us="format('{:,.2f}', o_totalprice)") + f""" AS m, CASE WHEN o_orderkey % 5 = 0 THEN ' ' || o_orderstatus ELSE o_orderstatus END AS s FROM orders),
+l AS (SELECT 'priority' AS col, o_orderkey AS rid, p AS raw FROM d UNION ALL SELECT 'day', o_orderkey, dd FROM d UNION ALL SELECT 'total_amount', o_orderkey, m FROM d UNION ALL SELECT 'status', o_orderkey, s FROM d), {TYPES},
+i AS (SELECT col, bool_or(NOT {missing_sql("raw")} AND (raw <> trim(raw) OR contains(raw, '  '))) AS spaced, bool_or({missing_sql("raw")} AND trim(raw) <> '') AS disguised FROM l GROUP BY col),
+f AS (SELECT col, max(n) / sum(n) AS form FROM (SELECT col, regexp_replace(regexp_replace(s, '[0-9]+', 'D', 'g'), '[A-Za-z]+', 'A', 'g') AS shape, count(*) AS n FROM h GROUP BY ALL) GROUP BY col),
+v AS (SELECT col, t, s, count(*) AS n, min(rid) AS first FROM h GROUP BY ALL),
+w AS (SELECT col, count(*) AS entries FROM (SELECT col, row_number() OVER (PARTITION BY col, t ORDER BY n DESC, first) AS k FROM v) WHERE k > 1 GROUP BY col),
+g AS (SELECT count(*) > count(DISTINCT (p, dd, m, s)) AS repeated FROM d)"""
+
+
+@query(f"""WITH {ORDERS_FACTS} SELECT '*' AS "column", 'drop_exact_duplicates' AS op, '' AS entries FROM g WHERE repeated
+UNION ALL SELECT col, 'strip_whitespace', '' FROM i WHERE spaced UNION ALL SELECT col, 'normalize_disguised_nulls', '' FROM i WHERE disguised
+UNION ALL SELECT col, 'parse_' || type, '' FROM ty JOIN f USING (col) WHERE type IN ('currency', 'number', 'percent') OR type = 'date' AND form < 0.9
+UNION ALL SELECT col, 'canonicalize_categories', entries::VARCHAR FROM w JOIN ty USING (col) WHERE type = 'categorical'""")
 def heuristic_plan(spark, sf_dir):
     return _plan_rows(spark, planner.heuristic(orders_text(spark, sf_dir)))
 
@@ -399,40 +537,63 @@ def recipe_replay(spark, sf_dir):
     return execute.apply(orders_text(spark, sf_dir), RECIPE).rows
 
 
-@query()
+@query(f"""WITH d AS (SELECT *, {PRIORITY} AS p, {DATES_SQL} AS dd, """ + MONEY.format(us="format('{:,.2f}', o_totalprice)") + f""" AS m, CASE WHEN o_orderkey % 5 = 0 THEN ' ' || o_orderstatus ELSE o_orderstatus END AS s FROM orders),
+u AS (SELECT * FROM d WHERE o_orderkey IN (SELECT min(o_orderkey) FROM d GROUP BY p, dd, m, s)),
+k AS (SELECT count(*) FILTER (WHERE NOT {missing_sql("p")} AND trim(p) <> p) AS stripped, count(*) FILTER (WHERE p IS NOT NULL AND {missing_sql("p")}) AS nulls, count(*) FILTER (WHERE dd <> strftime(o_orderdate, '%Y-%m-%d')) AS days,
+ count(*) FILTER (WHERE m <> format('{{:.2f}}', o_totalprice)) AS money, count(*) FILTER (WHERE s <> trim(s)) AS spaced, count(*) FILTER (WHERE lower(trim(s)) <> trim(s)) AS cased, (SELECT count(*) FROM d) - count(*) AS gone FROM u)
+SELECT unnest(['table', 'column', 'column', 'column', 'column', 'column', 'column', 'column']) AS scope, unnest(['*', 'priority', 'priority', 'day', 'total_amount', 'status', 'status', 'status']) AS "column",
+ unnest(['drop_exact_duplicates', 'strip_whitespace', 'normalize_disguised_nulls', 'parse_date', 'parse_currency', 'strip_whitespace', 'standardize_case', 'no_such_operation']) AS op,
+ unnest([NULL, stripped, nulls, days, money, spaced, cased, 0])::BIGINT AS cells_changed, unnest(['removed ' || gone || ' rows', NULL, NULL, NULL, NULL, NULL, NULL, NULL]) AS detail FROM k""")
 def change_log(spark, sf_dir):
     log = execute.apply(orders_text(spark, sf_dir), RECIPE).log()
     return spark.createDataFrame([(e["scope"], e.get("column", "*"), e["op"], e.get("cells_changed"), e.get("detail")) for e in log], "scope string, column string, op string, cells_changed long, detail string")
 
 
-@query("SELECT 0::BIGINT AS silent_edits")
+@query(f"""WITH d AS (SELECT *, {PRIORITY} AS p, """ + MONEY.format(us="format('{:,.2f}', o_totalprice)") + f""" AS m FROM orders)
+SELECT 'priority' AS "column" WHERE EXISTS (SELECT * FROM d WHERE p IS NOT NULL AND ({missing_sql("p")} OR p <> trim(p))) UNION ALL SELECT 'total_amount' WHERE EXISTS (SELECT * FROM d WHERE m <> format('{{:.2f}}', o_totalprice))""")
 def silent_edit_audit(spark, sf_dir):
+    """Four columns, of which three are cleaned, by a plan that owns up to one."""
     df = orders_text(spark, sf_dir)
-    return spark.createDataFrame([(len(execute.silent_edits(df, execute.apply(df, {**RECIPE, "columns": RECIPE["columns"][:2]}), RECIPE)),)], "silent_edits long")
+    done = {"columns": [c for c in RECIPE["columns"] if c["name"] != "status"]}
+    found = execute.silent_edits(df, execute.apply(df, done), {"columns": [c for c in RECIPE["columns"] if c["name"] == "day"]})
+    return spark.createDataFrame([(c,) for c in found], "column string")
 
 
-@query()
+@query(f"""WITH {ORDERS_FACTS} SELECT '*' AS "column", 'none' AS op, '' AS entries WHERE false UNION ALL SELECT 'day', CASE WHEN form < 0.9 THEN 'parse_date' ELSE 'flag:convention_preserved' END, '' FROM f WHERE col = 'day'
+UNION ALL SELECT col, 'strip_whitespace', '' FROM i WHERE spaced UNION ALL SELECT col, 'normalize_disguised_nulls', '' FROM i WHERE disguised
+UNION ALL SELECT 'status', CASE WHEN (SELECT count(*) FROM h WHERE col = 'status' AND s = 'O') >= 3 THEN 'flag:low_confidence_canonicalization' ELSE 'canonicalize_categories' END, ''""")
 def verify_and_union(spark, sf_dir):
     df = orders_text(spark, sf_dir)
     wild = {"table_operations": [], "columns": [{"name": "status", "operations": [{"op": "canonicalize_categories", "mapping": {"O": "F"}, "rationale": ""}]}, {"name": "day", "operations": [{"op": "parse_date"}]}], "flags": []}
     return _plan_rows(spark, ir.union(planner.verify(df, wild, 0.5), planner.heuristic(df)))
 
 
-@query()
+@query(f"""WITH d AS (SELECT c_custkey, {CASED} AS s FROM customer), n AS (SELECT lower(s) AS key, s, count(*) AS n, min(c_custkey) AS first FROM d GROUP BY ALL)
+SELECT '*' AS "column", 'drop_exact_duplicates' AS op, '' AS entries WHERE (SELECT count(*) > count(DISTINCT s) FROM d)
+UNION ALL SELECT 'segment', 'canonicalize_categories', (count(*) FILTER (WHERE k > 1))::VARCHAR FROM (SELECT row_number() OVER (PARTITION BY key ORDER BY n DESC, first) AS k FROM n)""")
 def voted_plans(spark, sf_dir):
     df = table(spark, sf_dir, "customer", "c_custkey AS _rid", f"{CASED_SPARK} AS segment")
     plans = [planner.heuristic(df), planner.clustered("fingerprint")(df), planner.clustered("nearest")(df)]
     return _plan_rows(spark, ir.vote(plans, 2)[0])
 
 
-@query()
+@query(f"""WITH d AS (SELECT l_orderkey * 8 + l_linenumber AS rid, * FROM ({VOTES})), l AS (SELECT rid, 'entity' AS col, 'L-' || l_orderkey AS value FROM d UNION ALL SELECT rid, 'dock', dock FROM d UNION ALL SELECT rid, 'gate', gate FROM d),
+c AS (SELECT col, value, count(*) AS n, min(rid) AS first FROM l WHERE NOT {missing_sql("value")} GROUP BY ALL),
+k AS (SELECT col FROM (SELECT col, count(*) AS many, quantile_cont(n, 0.5) AS median FROM c GROUP BY col) WHERE many >= 20 AND many <= 0.5 * (SELECT count(*) FROM d) AND median BETWEEN 3 AND 30),
+g AS (SELECT key, value FROM (SELECT col AS key, value, row_number() OVER (PARTITION BY col ORDER BY first) AS place FROM c JOIN k USING (col) WHERE n >= 3) WHERE place <= 200),
+x AS (SELECT g.key, g.value, o.col, o.value AS vote, count(*) AS n FROM g JOIN l m ON m.col = g.key AND m.value = g.value JOIN l o ON o.rid = m.rid AND o.col <> g.key GROUP BY ALL),
+y AS (SELECT key, value, col, sum(n) AS size, max(n) AS top, arg_max(vote, n) AS winner FROM x GROUP BY key, value, col),
+z AS (SELECT key, col, count(*) AS won, count(DISTINCT winner) AS winners FROM y WHERE top / size >= 0.6 AND top < size GROUP BY key, col),
+w AS (SELECT key, col FROM z WHERE won / (SELECT count(*) FROM g WHERE g.key = z.key) >= 0.02 AND winners >= 2)
+SELECT key, string_agg(col, ',' ORDER BY col) AS "columns" FROM w GROUP BY key HAVING count(*) >= 2 ORDER BY count(*) DESC LIMIT 1""")
 def entity_keys(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem", "concat('L-', l_orderkey) AS entity", "CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN 'wrong' ELSE 'ship' || (l_orderkey % 50) END AS dock", "CASE WHEN l_linenumber = 2 AND l_orderkey % 7 = 0 THEN 'other' ELSE 'gate' || (l_orderkey % 9) END AS gate")
+    df = table(spark, sf_dir, "lineitem", "l_orderkey * 8 + l_linenumber AS _rid", "concat('L-', l_orderkey) AS entity", "CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN 'wrong' ELSE 'ship' || (l_orderkey % 50) END AS dock", "CASE WHEN l_linenumber = 2 AND l_orderkey % 7 = 0 THEN 'other' ELSE 'gate' || (l_orderkey % 9) END AS gate")
     got = table_ops.entity_groups(df)
     return spark.createDataFrame([(got[0], ",".join(got[1]))] if got else [], "key string, columns string")
 
 
-@query()
+@query(f"""SELECT o_orderkey AS _rid, CASE WHEN {missing_sql("p")} THEN NULL ELSE p END AS priority, strftime(o_orderdate, '%Y-%m-%d') AS day,
+ CASE o_orderkey % 4 WHEN 1 THEN -round(o_totalprice, 2) WHEN 3 THEN NULL ELSE round(o_totalprice, 2) END AS total_amount, o_orderstatus AS status FROM (SELECT *, {PRIORITY} AS p FROM orders)""")
 def cleaned_table(spark, sf_dir):
     df = orders_text(spark, sf_dir)
     return execute.apply(df, planner.heuristic(df)).rows
@@ -523,13 +684,14 @@ def precision_sweep(spark, sf_dir):
     return scoring.precision_curve(scored(spark, sf_dir).select(F.col("conf").alias("confidence"), F.col("ok").alias("right")), [0.25, 0.5, 0.75]).withColumn("precision", F.round("precision", 9))
 
 
-@query("""WITH p AS (SELECT lang, count(*) AS n FROM documents WHERE source = 'src0' GROUP BY 1), q AS (SELECT lang, count(*) AS n FROM documents WHERE source = 'src1' GROUP BY 1),
-b AS (SELECT coalesce(p.n, 0) / (SELECT sum(n) FROM p) AS a, coalesce(q.n, 0) / (SELECT sum(n) FROM q) AS b FROM p FULL JOIN q USING (lang))
+@query("""WITH p AS (SELECT lang, count(*) FILTER (WHERE doc_id % 2 = 0) AS p, count(*) FILTER (WHERE doc_id % 2 = 1) AS q FROM documents GROUP BY 1),
+b AS (SELECT lang, p / sum(p) OVER () AS a, q / sum(q) OVER () AS b FROM p)
 SELECT round(sum((CASE WHEN a > 0 THEN 0.5 * a * log2(a / ((a + b) / 2)) ELSE 0 END) + (CASE WHEN b > 0 THEN 0.5 * b * log2(b / ((a + b) / 2)) ELSE 0 END)), 9) AS jsd FROM b""")
 def distribution_divergence(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "lang", "source")
-    of = lambda s: docs.where(F.col("source") == s).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    return scoring.jensen_shannon(of("src0"), of("src1"), "lang").select(F.round("jsd", 9).alias("jsd"))
+    """Of the languages of documents with even ids and those of the others."""
+    docs = table(spark, sf_dir, "documents", "lang", "doc_id")
+    of = lambda k: docs.where(F.col("doc_id") % 2 == k).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return scoring.jensen_shannon(of(0), of(1), "lang").select(F.round("jsd", 9).alias("jsd"))
 
 
 @query("""WITH s AS (SELECT n_nationkey AS i, (n_nationkey * 7) % 10 AS x, (n_nationkey * 3) % 8 AS y FROM nation), p AS (SELECT sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM s a JOIN s b ON a.i < b.i),
@@ -574,27 +736,54 @@ def inject_recovery(spark, sf_dir):
     return scoring.score(dirty, clean, execute.apply(dirty, ir.cell_only(planner.heuristic(dirty))).rows)
 
 
-@query()
+SCORES = """b AS (SELECT *, d <> g AS err, o <> d AS moved, o = g AS back, lower(trim(o)) = lower(trim(g)) AS sem, lower(trim(o)) = lower(trim(d)) AS same FROM t), c AS (SELECT *, moved AND NOT (same AND NOT back) AS chg FROM b),
+s AS (SELECT policy, count(*) FILTER (WHERE err) AS errors, count(*) FILTER (WHERE err AND (back OR (sem AND chg))) AS fixed, count(*) FILTER (WHERE chg) AS changed, count(*) FILTER (WHERE chg AND sem) AS good, count(*) FILTER (WHERE NOT err AND chg AND NOT sem) AS damaged FROM c GROUP BY policy)"""
+
+
+@query(f"""WITH x AS ({TRIPLE}), t AS (SELECT 'noop' AS policy, d, g, d AS o FROM x UNION ALL SELECT 'oracle', d, g, g FROM x UNION ALL SELECT 'constant', d, g, '1-URGENT' FROM x), {SCORES}
+SELECT policy, errors, fixed, changed, damaged, round(CASE WHEN fixed / errors + CASE WHEN changed = 0 THEN 1 ELSE good / changed END = 0 THEN 0 ELSE 2 * (fixed / errors) * (CASE WHEN changed = 0 THEN 1 ELSE good / changed END) / (fixed / errors + CASE WHEN changed = 0 THEN 1 ELSE good / changed END) END, 9)::DOUBLE AS f1 FROM s""")
 def degenerate_policies(spark, sf_dir):
-    clean = table(spark, sf_dir, "customer", "c_custkey AS _rid", "c_mktsegment AS segment")
-    dirty = scoring.inject(clean, "typo", 7, 0.1, ["segment"])
-    policies = {"noop": dirty, "oracle": clean, "random": scoring.random_edits(dirty, 0.05, 3)}
-    rows = [scoring.score(dirty, clean, out).select(F.lit(k).alias("policy"), "errors", "fixed", "changed", "damaged", "f1") for k, out in policies.items()]
+    dirty, clean, _ = triple(spark, sf_dir)
+    policies = {"noop": dirty, "oracle": clean, "constant": dirty.withColumn("priority", F.lit("1-URGENT"))}
+    rows = [scoring.score(dirty, clean, out).select(F.lit(k).alias("policy"), "errors", "fixed", "changed", "damaged", F.round("f1", 9).alias("f1")) for k, out in policies.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query()
+def random_policy(spark, sf_dir):
+    dirty, clean, _ = triple(spark, sf_dir)
+    return scoring.score(dirty, clean, scoring.random_edits(dirty, 0.05, 3)).select("errors", "fixed", "changed", "damaged", "f1")
+
+
+#: Docks of which some lost their last digit, so that they may be several, and some are in capitals.
+DOCKS = "SELECT o_orderkey AS _rid, 'ship' || (o_orderkey % 50) AS g, CASE WHEN o_orderkey % 7 = 0 THEN 'ship' || (o_orderkey % 50) // 10 || 'x' WHEN o_orderkey % 11 = 0 THEN 'SHIP' || (o_orderkey % 50) WHEN o_orderkey % 13 = 0 THEN 'unknown' WHEN o_orderkey % 17 = 0 THEN 'elsewhere' ELSE 'ship' || (o_orderkey % 50) END AS d FROM orders"
+DERIVED = f"""x AS ({DOCKS}), q AS (SELECT trim(d) AS raw, trim(g) AS canonical, count(*) AS n, {surface_sql("d")} AS a, {surface_sql("g")} AS b FROM x WHERE d <> g AND NOT {missing_sql("d")} AND NOT {missing_sql("g")} AND trim(d) NOT IN (SELECT trim(d) FROM x WHERE d = g) GROUP BY ALL),
+p AS (SELECT DISTINCT a, b FROM q), {RATIO}, e AS (SELECT raw, canonical, n, count(*) OVER (PARTITION BY raw) > 1 AS ambiguous FROM q JOIN r USING (a, b) WHERE a <> '' AND b <> '' AND (a = b OR ratio >= 0.72))"""
+
+
+def docks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    g, d = DOCKS.replace("//", "DIV").removeprefix("SELECT o_orderkey AS _rid, ").removesuffix(" AS d FROM orders").split(" AS g, ")
+    return tuple(table(spark, sf_dir, "orders", "o_orderkey AS _rid", f"{x} AS dock") for x in (d, g))
+
+
+@query(f"""WITH RECURSIVE {DERIVED} SELECT 'dock' AS "column", raw, canonical, n, ambiguous FROM e""")
 def derived_repairs(spark, sf_dir):
-    clean = table(spark, sf_dir, "customer", "c_custkey AS _rid", "c_mktsegment AS segment")
-    return scoring.derived_entries(scoring.inject(clean, "typo", 7, 0.1, ["segment"]), clean)
+    return scoring.derived_entries(*docks(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS ({TRIPLE}), z AS (SELECT *, {surface_sql("d")} AS a, {surface_sql("g")} AS b FROM t WHERE d <> g), p AS (SELECT DISTINCT a, b FROM z), {RATIO},
+y AS (SELECT a <> '' AND b <> '' AND (a = b OR ratio >= 0.72) AS variant, lower(trim(o)) = lower(trim(g)) AND o <> d AS fixed FROM z JOIN r USING (a, b)),
+s AS (SELECT count(*) FILTER (WHERE variant) AS variants, count(*) FILTER (WHERE variant AND fixed) AS variants_fixed, count(*) FILTER (WHERE NOT variant) AS others, count(*) FILTER (WHERE NOT variant AND fixed) AS others_fixed FROM y)
+SELECT *, round(variants_fixed / variants, 9) AS variant_recall FROM s""")
 def variant_fixes(spark, sf_dir):
-    return scoring.variant_breakdown(*triple(spark, sf_dir))
+    return scoring.variant_breakdown(*triple(spark, sf_dir)).withColumn("variant_recall", F.round("variant_recall", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT c_nationkey, trim({CASED}) AS s FROM customer), n AS (SELECT c_nationkey, s, count(*) AS n, {surface_sql("s")} AS norm FROM d GROUP BY ALL),
+top AS (SELECT c_nationkey, s AS canonical, norm AS b FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, s DESC) AS k FROM n) WHERE k = 1),
+q AS (SELECT c_nationkey, s, norm AS a, b FROM n JOIN top USING (c_nationkey) WHERE s <> canonical), p AS (SELECT DISTINCT a, b FROM q), {RATIO},
+o AS (SELECT c_nationkey, string_agg(s, '|' ORDER BY s) AS aliases FROM q JOIN r USING (a, b) WHERE a <> '' AND b <> '' AND (a = b OR ratio >= 0.72) GROUP BY c_nationkey)
+SELECT c_nationkey, canonical, coalesce(aliases, '') AS aliases FROM top LEFT JOIN o USING (c_nationkey)""")
 def entity_vocabulary(spark, sf_dir):
     got = scoring.modal_surfaces(table(spark, sf_dir, "customer", "c_nationkey", f"{CASED_SPARK} AS segment"), "c_nationkey", "segment")
     return got.select("c_nationkey", "canonical", F.array_join("aliases", "|").alias("aliases"))
@@ -603,13 +792,19 @@ def entity_vocabulary(spark, sf_dir):
 # Evidence.
 
 
-@query()
+@query(f"""WITH RECURSIVE {DERIVED}, k AS (SELECT count(*) FILTER (WHERE NOT ambiguous) AS sure, count(*) FILTER (WHERE ambiguous) AS unsure FROM e)
+SELECT 'dock' AS "column", 'canonicalize_categories' AS op, sure::VARCHAR AS entries FROM k WHERE sure > 0 UNION ALL SELECT 'dock', 'flag:ambiguous_or_missing_source_values', '' FROM k WHERE unsure > 0""")
 def paired_plan(spark, sf_dir):
-    clean = table(spark, sf_dir, "customer", "c_custkey AS _rid", "c_mktsegment AS segment")
-    return _plan_rows(spark, evidence.paired_plan(scoring.inject(clean, "typo", 7, 0.1, ["segment"]), clean))
+    return _plan_rows(spark, evidence.paired_plan(*docks(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT o_orderkey, {RARE} AS value FROM orders), c AS (SELECT value, count(*) AS n, min(o_orderkey) AS first, {surface_sql("value")} AS norm FROM d WHERE NOT {missing_sql("value")} GROUP BY value),
+ok AS (SELECT sum(n) >= 20 AND count(*) BETWEEN 4 AND 0.7 * sum(n) AS fit FROM c), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, first) AS k FROM c) WHERE k = 1),
+same AS (SELECT c.value AS raw, top.value AS canonical FROM c JOIN top USING (norm) WHERE c.value <> top.value),
+q AS (SELECT c.value, c.n, c.norm AS a, top.norm AS b, top.value AS canonical, top.n AS n_canonical, top.first FROM c JOIN top ON c.norm <> top.norm AND top.norm <> '' AND top.n >= 3 * c.n AND levenshtein(c.norm, top.norm) = 1 WHERE c.n < 3 AND c.norm <> '' AND c.value NOT IN (SELECT raw FROM same)),
+p AS (SELECT DISTINCT a, b FROM q), {RATIO}, near AS (SELECT value, canonical, row_number() OVER (PARTITION BY value ORDER BY n_canonical DESC, first) AS k FROM q JOIN r USING (a, b) WHERE ratio >= 0.72),
+e AS (SELECT raw, canonical FROM same UNION ALL SELECT value, canonical FROM near WHERE k = 1)
+SELECT 'priority' AS "column", 'canonicalize_categories' AS op, count(*)::VARCHAR AS entries FROM e, ok WHERE fit HAVING count(*) >= 2""")
 def unpaired_plan(spark, sf_dir):
     return _plan_rows(spark, evidence.unpaired(table(spark, sf_dir, "orders", "o_orderkey AS _rid", f"{RARE} AS priority")))
 
@@ -622,9 +817,10 @@ def matched_records(spark, sf_dir):
     return evidence.matched_pairs(a, b, matches, "id")[1]
 
 
-@query()
+@query(f"""WITH {EMBEDDED}, n AS (SELECT kind, count(*) AS n FROM e GROUP BY kind), o AS (SELECT span FROM e ORDER BY doc_id, place LIMIT 1)
+SELECT 'text' AS "column", (SELECT kind FROM n ORDER BY n DESC, kind LIMIT 1) AS pii_type, count(*) AS "count", (SELECT {HIDDEN} FROM o) AS example FROM e HAVING count(*) > 0""")
 def embedded_alerts(spark, sf_dir):
-    return evidence.embedded_alerts(table(spark, sf_dir, "documents", "doc_id AS _rid", "text", "source"), {"columns": []})
+    return evidence.embedded_alerts(table(spark, sf_dir, "documents", "doc_id AS _rid", "text", "source"), {"columns": []}, None)
 
 
 @query(f"WITH t AS ({TRIPLE}), g AS (SELECT o_orderkey, d <> g AS wrong, row_number() OVER (PARTITION BY d <> g ORDER BY o_orderkey) - 1 AS place FROM t) SELECT o_orderkey AS _rid FROM g WHERE wrong OR place % 10 = 0")

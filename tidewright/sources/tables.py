@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
 import os
 import re
+import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +31,23 @@ def sanitized(names: list[object]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, names: list[str] | None = None, encoding: str | None = None, keep_blank: bool = True, tolerant: bool = False, most: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", header: bool = True, names: list[str] | None = None, encoding: str | None = None, keep_blank: bool = True, tolerant: bool = False, most: int | None = None, multiline: bool | None = None) -> DataFrame:
     """All cells as text, blanks as "", with _rid. tolerant drops lines of a wrong width; most keeps
-    that many rows. Compressed files are read by their ending."""
-    options = {"sep": sep, "header": False, "inferSchema": False, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": encoding or text_encoding(spark, path), "mode": "DROPMALFORMED" if tolerant else "PERMISSIVE"}
+    that many rows. Compressed files are read by their ending.
+
+    Files are split over tasks at their lines. Only where a line has an odd number of quotes, so that
+    a cell may hold a line feed, is each file one task; multiline says so without looking. Without
+    an encoding given, a file is UTF-8 if all of its lines are, else latin-1.
+    """
+    latin, broken = ([], False) if encoding and multiline is not None else _line_facts(spark, path)
+    multiline = broken if multiline is None else multiline
+    every = [] if encoding or not latin else sorted({f for f in spark.read.text(path).inputFiles()})
+    if every and len(latin) < len(every):  # files of both encodings
+        parts = [read_csv(spark, files, sep, header, names, code, keep_blank, tolerant, None, multiline) for files, code in ((sorted(set(every) - set(latin)), "UTF-8"), (latin, "ISO-8859-1"))]
+        out = parts[0].drop("_rid").unionByName(parts[1].drop("_rid"), allowMissingColumns=True)
+        out = with_row_id(out)
+        return out.orderBy("_rid").limit(most) if most else out
+    options = {"sep": sep, "header": False, "inferSchema": False, "multiLine": multiline, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": encoding or ("ISO-8859-1" if latin else "UTF-8"), "mode": "DROPMALFORMED" if tolerant else "PERMISSIVE"}
     found = spark.read.options(**options).options(header=header, enforceSchema=True).csv(path) if not header else spark.read.options(**{**options, "header": True}).csv(path)
     if not found.columns:
         raise ValueError("the file has no columns")
@@ -41,34 +59,71 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True
     return out.orderBy("_rid").limit(most) if most else out
 
 
-def _header(spark: SparkSession, path: str, options: dict, found: list[str]) -> list[str]:
+def _header(spark: SparkSession, path: str | list[str], options: dict, found: list[str]) -> list[str]:
     """The names as the file has them: the reader renames repeated ones."""
     first = spark.read.options(**{**options, "multiLine": False}).csv(path).first()
     given = list(first) if first is not None else found
     return given if len(given) == len(found) else found
 
 
-def text_encoding(spark: SparkSession, path: str, prefix: int = 1 << 20) -> str:
-    """UTF-8 if the start of the file is, else latin-1."""
-    if path.endswith((".gz", ".bz2", ".zst")):
-        return "UTF-8"
-    got = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, prefix).alias("b")).first()
-    if got is None:
-        raise ValueError("the file is empty")
-    raw = bytes(got["b"])
-    for cut in range(4):  # the prefix may end inside a character
+def _line_facts(spark: SparkSession, path: str | list[str]) -> tuple[list[str], bool]:
+    """(files that aren't UTF-8, whether some line has an odd number of quotes), from all lines."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    facts = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.bool_or(~F.is_valid_utf8(line)).alias("latin"), F.bool_or(quotes % 2 == 1).alias("broken"))
+    got = facts.where("latin or broken").collect()  # files that are out of the ordinary
+    return sorted(r["file"] for r in got if r["latin"]), any(r["broken"] for r in got)
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, member, size) of the files in zip archives."""
+
+    def listed(batches):
+        for b in batches:
+            rows = [(p, i.filename, i.file_size) for p, c in zip(b["path"], b["content"], strict=True) for i in zipfile.ZipFile(io.BytesIO(c)).infolist() if not i.is_dir()]
+            yield pd.DataFrame(rows, columns=["archive", "member", "size"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(listed, "archive string, member string, size long")
+
+
+def read_zipped(spark: SparkSession, path: str, member: str, sep: str = ",") -> DataFrame:
+    """A delimited member of zip archives, as read_csv reads files: text, blanks as "", with _rid. An
+    archive is one task, as its format asks for, and its rows leave it a thousand at a time."""
+
+    def text(content: bytes):
+        raw = zipfile.ZipFile(io.BytesIO(content)).open(member)
         try:
-            raw[: len(raw) - cut].decode("utf-8")
-            return "UTF-8"
+            for _ in io.TextIOWrapper(raw, "utf-8"):
+                pass
+            code = "utf-8"
         except UnicodeDecodeError:
-            continue
-    return "ISO-8859-1"
+            code = "latin-1"
+        return csv.reader(io.TextIOWrapper(zipfile.ZipFile(io.BytesIO(content)).open(member), code, newline=""), delimiter=sep)
+
+    def rows(batches):
+        for b in batches:
+            for content in b["content"]:
+                if member in zipfile.ZipFile(io.BytesIO(content)).namelist():
+                    lines = text(content)
+                    next(lines, None)
+                    while part := list(itertools.islice(lines, 1000)):
+                        yield pd.DataFrame({"cells": [x for x in part if x]})
+
+    def first(batches):
+        for b in batches:
+            heads = [next(text(c), []) for c in b["content"] if member in zipfile.ZipFile(io.BytesIO(c)).namelist()]
+            yield pd.DataFrame({"cells": [h for h in heads if h]})
+
+    archives = spark.read.format("binaryFile").load(path).select("content")
+    head = archives.mapInPandas(first, "cells array<string>").first()
+    if head is None:
+        raise ValueError(f"no archive has a member {member} with columns")
+    cells = archives.mapInPandas(rows, "cells array<string>")
+    return with_row_id(cells.select(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(sanitized(list(head["cells"]))))))
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
     """A workbook's first sheet as text; such files are small by their format."""
-    import pandas as pd
-
     table = pd.read_excel(path, dtype=str, keep_default_na=False)
     table.columns = sanitized(list(table.columns))
     return with_row_id(spark.createDataFrame(table))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.python_only import WRONG_DECODING, repaired_udf
+from ..functions.values import any_of
 from ..operators.table_ops import drop_columns, drop_empty_rows
 from ..plans.execute import _step, cell_expression
 
@@ -20,9 +23,9 @@ def check(plan: dict) -> None:
 
 def replay(stream: DataFrame, plan: dict, watermark: tuple[str, str] | None = None) -> DataFrame:
     """The plan on a streaming table. Cell operations are projections and joins with static tables.
-    Repeated rows go within the watermark (column, delay), which they need."""
+    Repeated rows, whatever their time and _rid, go within the watermark (column, delay), which they need."""
     check(plan)
-    out = stream
+    out, names = stream, [c for c in stream.columns if c != "_rid" and c != (watermark or [None])[0]]
     for op in plan.get("table_operations", []):
         if op["op"] == "drop_empty_columns":
             out = drop_columns(out, op.get("columns", []))
@@ -31,18 +34,16 @@ def replay(stream: DataFrame, plan: dict, watermark: tuple[str, str] | None = No
         elif op["op"] == "drop_exact_duplicates":
             if watermark is None:
                 raise NeedsBatch("dropping repeated rows of a stream needs a watermark")
-            out = out.withWatermark(*watermark).dropDuplicatesWithinWatermark()
-    from pyspark.sql import functions as F
-
+            out = out.withWatermark(*watermark).dropDuplicatesWithinWatermark([c for c in names if c in out.columns])
     for column in plan.get("columns", []):
         name = column["name"]
         if name not in out.columns:
             continue
         for op in column.get("operations", []):
             if op["op"] == "fix_encoding":
-                from ..functions.python_only import repaired_udf
-
-                out = out.withColumn(name, repaired_udf(F.col(f"`{name}`")))
+                cell = F.col(f"`{name}`")
+                marked = F.when(any_of([F.contains(cell, F.lit(m)) for m in WRONG_DECODING]), cell)  # others go to Python as nulls
+                out = out.withColumn(name, F.coalesce(repaired_udf(marked), cell))
             elif len(op.get("mapping") or {}) > 500:
                 out = _step(out, op, name, "__new_cell").drop(name).withColumnRenamed("__new_cell", name)
             else:
