@@ -212,7 +212,10 @@ def test_sentences():
     assert whole[:5] == ["One two.", '"Three four?"', "Five!", "six seven…", "Ende。"[:4] + "。"]
     long = spans.cut(" ".join(made(np.random.default_rng(2), 500)))
     assert np.diff(long.starts).max() <= spans.LIMIT and len(long.starts) > 60
-    assert len(spans.cut(" \n").starts) == 1 and len(spans.cut(None).words) == 0
+    assert len(spans.cut(" \n").starts) == 1 and len(spans.cut(None).words) == 0 and len(spans.cut().words) == 0
+    apart, both = [spans.cut(x) for x in ("a b c", text, None, "", text)], spans.cut("a b c", text, None, "", text)
+    assert both.words.tolist() == [w for c in apart for w in c.words.tolist()] and np.diff(both.docs).tolist() == [len(c.words) for c in apart]
+    assert np.diff(both.starts).tolist() == [n for c in apart for n in np.diff(c.starts).tolist()]
 
 
 def test_hot_spans_and_reflowed_lines(spark, monkeypatch):

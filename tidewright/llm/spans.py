@@ -37,15 +37,17 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _scales: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: First two bytes of characters of scripts without spaces, from and to: Thai and Lao, Burmese, Khmer, kana and Han.
 _unspaced = ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE9BF), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0B3))
-#: Marks that end a sentence: of one byte, those that may follow one, and of more bytes.
-_stops, _closing = np.frombuffer(b".!?", np.uint8), np.frombuffer(b"\"')]}", np.uint8)
-_wide_stops = [int.from_bytes(c.encode(), "big") for c in "…。！？।؟۔"]
+#: Marks that end a sentence, of one byte and of more, and those that may follow one.
+_wide_stops = [c.encode() for c in "…。！？।؟۔"]
+_stops, _closing, _wide_last = np.zeros((3, 256), bool)
+_stops[[*b".!?"]] = _closing[[*b"\"')]}"]] = _wide_last[[c[-1] for c in _wide_stops]] = True
 _least = np.iinfo(np.int64).min
 
 
 @dataclass
 class Cut:
-    raw: bytes  # the text
+    raw: bytes  # the texts, with a line feed between them
+    docs: np.ndarray  # first word of each text, and how many words there are
     at: np.ndarray  # byte of raw at which each word begins, and the end
     words: np.ndarray  # hash of each word
     starts: np.ndarray  # first word of each sentence, and how many words there are
@@ -81,17 +83,14 @@ def _extreme(h: np.ndarray, width: int, pick) -> np.ndarray:
 
 def _ends(a: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Whether each word a[begin:end] ends a sentence."""
-    last = a[end - 1]
-    closed = np.isin(last, _closing) & (end - begin > 1)
+    last, long = a[end - 1], end - begin > 1
+    closed = _closing[last] & long
     last = np.where(closed, a[end - 2], last)
-    out = np.isin(last, _stops)
-    wide = np.flatnonzero((last >= 0x80) & (end - begin > 1))
-    if len(wide):
-        e = end[wide] - closed[wide]
-        code = a[e - 2].astype(np.int64) << 8 | a[e - 1]
-        out[wide] |= np.isin(code, _wide_stops)
-        wide, e, code = (x[e - begin[wide] > 2] for x in (wide, e, code))
-        out[wide] |= np.isin(a[e - 3].astype(np.int64) << 16 | code, _wide_stops)
+    out = _stops[last]
+    for k in np.flatnonzero(_wide_last[last] & long):
+        e = end[k] - closed[k]
+        word = a[max(begin[k], e - 3) : e].tobytes()
+        out[k] |= any(word.endswith(c) for c in _wide_stops)
     return out
 
 
@@ -108,8 +107,10 @@ def _sentences(words: np.ndarray, ends: np.ndarray, limit: int = LIMIT) -> np.nd
     return np.append(np.flatnonzero(new), len(words))
 
 
-def cut(text: str | None) -> Cut:
-    raw = (text or "").encode("utf-8", "surrogatepass")
+def cut(*texts: str | None) -> Cut:
+    """Words and sentences of texts, of all in one go; no sentence goes over the end of a text."""
+    parts = [(text or "").encode("utf-8", "surrogatepass") for text in texts]
+    raw = b"\n".join(parts)
     a = np.frombuffer(raw, np.uint8)
     space = np.concatenate([[True], _space[a], [True]])
     new, over = ~space[1:] & space[:-1], ~space[:-1] & space[1:]
@@ -122,30 +123,37 @@ def cut(text: str | None) -> Cut:
         over |= new & ~space[:-1]
     begin, end = np.flatnonzero(new), np.flatnonzero(over)
     words = _hashes(_weight[a], begin, end)
-    return Cut(raw, np.append(begin, len(raw)), words, _sentences(words, _ends(a, begin, end)) if len(words) else np.zeros(1, np.int64))
+    docs = np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in parts)]))
+    if not len(words):
+        return Cut(raw, docs, np.array([len(raw)]), words, np.zeros(1, np.int64))
+    ends = _ends(a, begin, end)
+    ends[docs[1:][docs[1:] > 0] - 1] = True
+    return Cut(raw, docs, np.append(begin, len(raw)), words, _sentences(words, ends))
 
 
 def runs(c: Cut) -> np.ndarray:
-    """Signed 64-bit hash of each run of SENTENCES consecutive sentences."""
+    """Signed 64-bit hash of each run of SENTENCES consecutive sentences, over the ends of texts too."""
     return _hashes(c.words, c.starts[:-SENTENCES], c.starts[SENTENCES:]).view(np.int64)
 
 
-def spans(c: Cut, words: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Signed 64-bit hash of each span of so many words, by its first word; or of those at `at`."""
-    i = np.arange(max(0, len(c.words) - words + 1)) if at is None else at
-    return _hashes(c.words, i, i + words).view(np.int64)
+def spans(c: Cut, words: int, at: np.ndarray) -> np.ndarray:
+    """Signed 64-bit hash of the spans of so many words that begin at the words `at`."""
+    return _hashes(c.words, at, at + words).view(np.int64)
 
 
 def likely(c: Cut, again: np.ndarray, words: int) -> np.ndarray:
     """First words of spans that may stand elsewhere: those all of whose runs do. again: of each run.
     Only runs count whose borders lie LIMIT words inside the span, where words outside can't shift
     them; spans too short to hold one are all likely."""
-    p = np.arange(max(0, len(c.words) - words + 1))
-    b = c.starts
-    lo = np.searchsorted(b, p + (LIMIT - 1))
-    hi = np.maximum(lo, np.searchsorted(b, p + (words - LIMIT), "right") - SENTENCES)
+    n = len(c.words)
+    last = np.repeat(c.docs[1:], np.diff(c.docs))  # end of each word's text
+    p = np.flatnonzero(np.arange(n) + words <= last)
+    before = np.zeros(n + 2, np.int64)  # sentences that begin before each word
+    before[c.starts + 1] = 1
+    before = np.cumsum(before)
     bad = np.concatenate([[0], np.cumsum(~again)])
-    lo, hi = np.minimum(lo, len(again)), np.minimum(hi, len(again))
+    lo = np.minimum(before[np.minimum(p + (LIMIT - 1), n + 1)], len(again))
+    hi = np.minimum(np.maximum(before[np.maximum(p + (words - LIMIT) + 1, 0)] - SENTENCES, lo), len(again))
     return p[bad[hi] == bad[lo]]
 
 
@@ -158,18 +166,21 @@ def removed(c: Cut, starts: np.ndarray, words: int = LEAST_WORDS) -> list[tuple[
     return [(int(i), int(j)) for i, j in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _later(h: np.ndarray) -> np.ndarray:
-    more = np.ones(len(h), bool)
-    more[np.unique(h, return_index=True)[1]] = False
+def _later(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash stands before in its document."""
+    order = np.lexsort((h, doc))  # stable, so that the first comes first
+    more = np.zeros(len(h), bool)
+    more[order[1:]] = (np.diff(h[order]) == 0) & (np.diff(doc[order]) == 0)
     return more
 
 
 def _counted_runs(batches: Batches) -> Batches:
-    for b in slices(batches, 1000, 0, 2 << 20):
-        found = [runs(cut(text)) for text in b.column(0).to_pylist()]
-        if found:
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32))], ["key", "n"])
+    for b in slices(batches, 1000, 0, 1 << 20):
+        c = cut(*b.column(0).to_pylist())
+        first = c.starts[: max(0, len(c.starts) - SENTENCES)]
+        whole = c.starts[SENTENCES:] <= np.repeat(c.docs[1:], np.diff(c.docs))[first]  # of one text
+        keys, n = np.unique(runs(c)[whole], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32))], ["key", "n"])
 
 
 def _part(table: pa.Table) -> pa.Table:
@@ -195,19 +206,12 @@ def _set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _likely_spans(words: int, shared):
     def f(batches: Batches) -> Batches:
-        for b in slices(batches, 200, 1, 1 << 20):
-            docs, places, keys, again = [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = cut(text)
-                at = likely(c, _set(shared.value, runs(c)), words)
-                if len(at):
-                    h = spans(c, words, at)
-                    docs.append(np.full(len(h), doc))
-                    places.append(at.astype(np.int32))
-                    keys.append(h)
-                    again.append(_later(h))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, places, keys, again)], ["doc", "place", "key", "again"])
+        for b in slices(batches, 1000, 1, 1 << 20):
+            c = cut(*b.column(1).to_pylist())
+            at = likely(c, _set(shared.value, runs(c)), words)
+            h, i = spans(c, words, at), np.searchsorted(c.docs, at, "right") - 1  # of texts without words, none begins there
+            doc = b.column(0).to_numpy(zero_copy_only=False)[i]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, (at - c.docs[i]).astype(np.int32), h, _later(i, h))], ["doc", "place", "key", "again"])
 
     return f
 
