@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -327,6 +328,27 @@ def test_names_and_files(spark, tmp_path):
     latin = tmp_path / "b.csv"
     latin.write_bytes("n;v\nJosé;1\n".encode("latin-1"))
     assert tables.read_csv(spark, str(latin), sep=";").first()["n"] == "José"
+    late = tmp_path / "late.csv"  # what isn't UTF-8 comes after two million bytes, and the file is split
+    late.write_bytes(b"n;v\n" + b"plain;1\n" * 300_000 + "José;2\n".encode("latin-1"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500k")
+    got = tables.read_csv(spark, str(late), sep=";")
+    assert got.where("v = 2").first()["n"] == "José" and got.rdd.getNumPartitions() > 3 and got.count() == 300_001
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    both = tmp_path / "both"
+    both.mkdir()
+    (both / "p.csv").write_bytes("n;v\nJosé;1\n".encode("latin-1"))
+    (both / "q.csv").write_text("n;v\nZoë;2\n", encoding="utf-8")
+    assert {r["n"] for r in tables.read_csv(spark, str(both), sep=";").collect()} == {"José", "Zoë"}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in/t.csv", 'x,x, y \n1,"two\nlines",z\n\n2,"q ""w"""\n')
+        z.writestr("u.csv", "a\nJosé\n".encode("latin-1"))
+    path = str(tmp_path / "a.zip")
+    assert {r["member"] for r in tables.zip_members(spark, path).collect()} == {"in/t.csv", "u.csv"}
+    zipped = tables.read_zipped(spark, path, "in/t.csv").orderBy("_rid")
+    assert zipped.columns == ["x", "x.1", "y", "_rid"] and [tuple(r)[:3] for r in zipped.collect()] == [("1", "two\nlines", "z"), ("2", 'q "w"', "")]
+    assert tables.read_zipped(spark, path, "u.csv").first()["a"] == "José"
+    with pytest.raises(ValueError):
+        tables.read_zipped(spark, path, "none.csv")
     bare = tmp_path / "c.tsv"
     bare.write_text("1\t2\n3\t4\n")
     assert tables.read_csv(spark, str(bare), sep="\t", header=False, names=["p", "q"]).count() == 2
@@ -357,3 +379,23 @@ def test_streams(spark, tmp_path):
     for op in ({"op": "resolve_by_majority", "key_column": "x", "columns": ["y"]}, {"op": "drop_exact_duplicates"}):
         with pytest.raises(replay.NeedsBatch):
             replay.replay(stream, {"table_operations": [op], "columns": []})
+
+
+def test_prefixed_values_make_few_pairs(spark):
+    """A hundred thousand values with a common beginning: pairs grow with the values, not their square."""
+    from tidewright.operators import canon
+
+    keys = spark.range(100_000).select(F.lit("c").alias("column"), F.format_string("customer#%09d", F.col("id") * 7919 % 999_983).alias("key"), (F.col("id") % 3 + 1).alias("n"), F.col("id").alias("first"))
+    a, b = canon.near_keys(keys.select("key"), "key", True), canon.near_keys(keys.select(F.col("key").alias("other")), "other")
+    assert a.join(b, "near").count() < 100 * 100_000
+
+
+@pytest.mark.parametrize("size", [5, 8, 9, 15, 16, 17, 31, 32, 63, 64, 200])
+def test_texts_one_edit_apart_share_a_key(spark, size):
+    from tidewright.operators import canon
+
+    text = "".join(chr(97 + (i * i + 3 * i) % 23) for i in range(size))
+    edits = [text[:i] + c + text[j:] for i in range(size + 1) for c, j in (("#", i), ("#", i + 1), ("", i + 1)) if j <= size]
+    a = canon.near_keys(spark.createDataFrame([(x,) for x in edits], "a string"), "a", True)
+    b = canon.near_keys(spark.createDataFrame([(text,)], "b string"), "b")
+    assert {r["a"] for r in a.join(b, "near").select("a").distinct().collect()} == set(edits)

@@ -10,6 +10,7 @@ import re
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,25 +101,29 @@ def read_zipped(spark: SparkSession, path: str, member: str, sep: str = ",") ->
             code = "latin-1"
         return csv.reader(io.TextIOWrapper(zipfile.ZipFile(io.BytesIO(content)).open(member), code, newline=""), delimiter=sep)
 
+    def lists(found: list[list[str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["cells"])
+
+    def held(batches):
+        contents = (c for b in batches for c in b.column(0).to_pylist())
+        return (c for c in contents if member in zipfile.ZipFile(io.BytesIO(c)).namelist())
+
     def rows(batches):
-        for b in batches:
-            for content in b["content"]:
-                if member in zipfile.ZipFile(io.BytesIO(content)).namelist():
-                    lines = text(content)
-                    next(lines, None)
-                    while part := list(itertools.islice(lines, 1000)):
-                        yield pd.DataFrame({"cells": [x for x in part if x]})
+        for content in held(batches):
+            lines = text(content)
+            next(lines, None)
+            while part := list(itertools.islice(lines, 1000)):
+                yield lists([x for x in part if x])
 
     def first(batches):
-        for b in batches:
-            heads = [next(text(c), []) for c in b["content"] if member in zipfile.ZipFile(io.BytesIO(c)).namelist()]
-            yield pd.DataFrame({"cells": [h for h in heads if h]})
+        for content in held(batches):
+            yield lists([h for h in [next(text(content), [])] if h])
 
     archives = spark.read.format("binaryFile").load(path).select("content")
-    head = archives.mapInPandas(first, "cells array<string>").first()
+    head = archives.mapInArrow(first, "cells array<string>").first()
     if head is None:
         raise ValueError(f"no archive has a member {member} with columns")
-    cells = archives.mapInPandas(rows, "cells array<string>")
+    cells = archives.mapInArrow(rows, "cells array<string>")
     return with_row_id(cells.select(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(sanitized(list(head["cells"]))))))
 
 
