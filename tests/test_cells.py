@@ -73,7 +73,7 @@ def test_wrong_decoding(spark):
     wrong = "é naïve – ‘x’".encode().decode("cp1252")
     assert cells(spark, repaired_udf, [wrong, "clean é", "Ã broken", None]) == ["é naïve – ‘x’", "clean é", "Ã broken", None]
     assert repaired("") == "" and fingerprint("  Émile, Zola! zola ") == "emile zola"
-    assert ratio("birminghxm", "birmingham") == difflib.SequenceMatcher(None, "birminghxm", "birmingham").ratio()
+    assert ratio("manchestxr", "manchester") == difflib.SequenceMatcher(None, "manchestxr", "manchester").ratio()
 
 
 def luhn(d):

@@ -23,10 +23,10 @@ def column(spark, values):
 
 
 def test_paired_plan(spark):
-    clean = column(spark, ["Birmingham"] * 4 + ["Oslo", "Osla", "9:55"])
-    dirty = column(spark, ["Birmingham", "birminghxm", "Birmingham", "Birmingham", "Oslx", "Oslx", "9:45"])
+    clean = column(spark, ["Manchester"] * 4 + ["Oslo", "Osla", "9:55"])
+    dirty = column(spark, ["Manchester", "manchestxr", "Manchester", "Manchester", "Oslx", "Oslx", "9:45"])
     plan = evidence.paired_plan(dirty, clean)
-    assert ir.canon_pairs(plan) == {("c", "birminghxm", "Birmingham")} and plan["flags"][0]["values"] == ["Oslx"]
+    assert ir.canon_pairs(plan) == {("c", "manchestxr", "Manchester")} and plan["flags"][0]["values"] == ["Oslx"]
     labels = evidence.sampled_labels(dirty, clean, 2, 1).collect()
     assert len(labels) == 2 and all(r["raw"] != r["gold"] for r in labels)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from math import lgamma
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -335,3 +338,25 @@ def leak_rate(out: DataFrame, columns: dict[str, str]) -> DataFrame:
 
     rows = [F.struct(F.lit(c).alias("column"), F.coalesce(pii.validators(v.strip(F.col(f"`{c}`").cast("string")))[kind], F.lit(False)).cast("int").alias("leak")) for c, kind in columns.items()]
     return out.select(F.inline(F.array(*rows))).groupBy("column").agg(F.count(F.lit(1)).alias("cells"), F.sum("leak").alias("leaks"))
+
+
+def equivalence(differences: list[float], margin: float, draws: int = 10_000, seed: int = 0) -> dict[str, float]:
+    """Whether the mean of a few paired differences lies within a margin of zero: two one-sided t tests,
+    of which the greater p counts, and a bootstrap interval of 90 %. For tables of scores, one row
+    a system; None for p where there are fewer than two or all are equal."""
+    d = np.asarray(differences, float)
+    n, mean = len(d), float(d.mean())
+    sd = float(d.std(ddof=1)) if n > 1 else 0.0
+    above, below = (_upper_tail((x * sd**-1) * n**0.5, n - 1) if sd else None for x in (mean + margin, margin - mean))
+    means = d[np.random.default_rng(seed).integers(0, n, (draws, n))].mean(1)
+    low, high = np.percentile(means, [5, 95])
+    return {"n": n, "mean": mean, "sd": sd, "p_above": above, "p_below": below, "p": None if above is None else max(above, below), "low": float(low), "high": float(high), "within": bool(-margin < low and high < margin)}
+
+
+def _upper_tail(t: float, freedom: int, steps: int = 20_000) -> float:
+    """Share of Student's distribution over t: by Simpson's rule over the angle whose tangent is t / sqrt(freedom)."""
+    angle = np.linspace(0.0, np.arctan(abs(t) / freedom**0.5), steps + 1)
+    y = np.cos(angle) ** (freedom - 1)
+    area = (angle[-1] / steps / 3) * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())
+    whole = np.exp(lgamma(freedom / 2) - lgamma((freedom + 1) / 2)) * np.pi**0.5  # from minus to plus a right angle
+    return 0.5 - float(np.sign(t) * area / whole)
