@@ -69,3 +69,24 @@ def test_every_kth(spark):
     got = {r["_rid"] for r in evidence.every_kth(rows, F.col("bad"), 10).collect()}
     fine = [i for i in range(10_000) if i % 97]
     assert got == {i for i in range(10_000) if i % 97 == 0} | set(fine[::10])
+
+
+def test_answers_of_models():
+    fine = '{"table_operations": [], "columns": []}'
+    cases = {"": "empty", " \n": "empty", "no plan": "no_json", '{"a": [1, 2': "no_close_brace", '{"a": ,}': "malformed_json", '{"columns": []}': "schema_invalid", f"Here: {fine} done": "valid"}
+    assert {x: ir.diagnosis(x)[0] for x in cases} == cases
+    assert ir.diagnosis('{"a": [1, 2', True)[0] == "truncated" and ir.diagnosis('{"columns": []}')[1] == "table_operations is not there"
+
+
+def test_gate_points(spark):
+    clean = column(spark, ["acme holdings"] * 8 + ["Oslo office"] * 8)
+    dirty = column(spark, ["acme holdings"] * 7 + ["acme holdngs"] + ["Oslo office"] * 8)
+    plan = {"table_operations": [], "columns": [{"name": "c", "operations": [{"op": "canonicalize_categories", "mapping": {"acme holdngs": "acme holdings", "Oslo office": "acme holdings"}}]}]}
+    assert tuple(evidence.gate_point(dirty, clean, plan, 0.5, False).first()) == (0.5, 1.0, 1.0, 1, 1)
+    assert tuple(evidence.gate_point(dirty, clean, plan, 0.0, False).first())[3:] == (9, 1)
+
+
+def test_made_personal_data_passes_its_validators(spark):
+    rows = spark.createDataFrame(evidence.made_personal_data(3))
+    kinds = {"card": "credit_card", "iban": "iban", "ssn": "ssn", "email": "email"}
+    assert {r["column"]: r["leaks"] for r in scoring.leak_rate(rows, kinds).collect()} == dict.fromkeys(kinds, 120)

@@ -157,6 +157,35 @@ def verified_example(clean: DataFrame, dirty: DataFrame, plan: dict) -> bool:
     return scoring.recovery(clean, out).first()["recovery"] == 1.0
 
 
+def gate_point(dirty: DataFrame, clean: DataFrame, plan: dict, tau: float = 0.5, with_heuristic: bool = True) -> DataFrame:
+    """One row: what is left of a plan's mappings at a confidence, with the heuristic plan's, and how well
+    these alone repair: tau, precision, coverage, changed, fixed."""
+    from . import planner
+
+    kept = planner.verify(dirty, plan, tau)
+    if with_heuristic:
+        kept = ir.union(kept, planner.heuristic(dirty))
+    got = scoring.score(dirty, clean, execute.apply(dirty, ir.repairs_only(kept)).rows)
+    return got.select(F.lit(float(tau)).alias("tau"), F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("coverage"), "changed", "fixed")
+
+
+def made_personal_data(seed: int, rows: int = 120) -> list[dict]:
+    """Rows with a card and an account number whose checksums are right, an SSN, an address and a city."""
+    r = random.Random(seed)
+    number = lambda n: "".join(str(r.randint(0, 9)) for _ in range(n))
+
+    def card() -> str:
+        body = "4" + number(14)
+        doubled = sum(sum(divmod(2 * int(c), 10)) for c in body[::2]) + sum(int(c) for c in body[1::2])
+        return body + str(-doubled % 10)
+
+    def account() -> str:
+        body = number(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"  # D and E are 13 and 14
+
+    return [{"_rid": i, "card": card(), "iban": account(), "ssn": f"{r.randint(100, 999)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}", "email": f"p{number(3)}@mail{r.randint(1, 9)}.org", "city": r.choice(["Leeds", "Oslo", "Lima", "Turin"])} for i in range(rows)]
+
+
 def unpaired(df: DataFrame) -> dict:
     """A plan from the columns of a table alone; see column_mapping."""
     by: dict[str, dict[str, str]] = {}
