@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, Written, map_batches, slices
+from .common import Batches, Written, fresh, map_batches, slices
 from .components import connected_components
 
 WIDTHS = (22, 21, 21)
@@ -191,10 +191,10 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
     """Rows of `docs` that stay: one of each component, with its smallest doc_id. All columns as they
-    are. Of several rows with that doc_id and equal texts one stays; rows without doc_id stay.
+    are. Of several rows with that doc_id and equal texts one stays; rows without doc_id stay. No
+    rows: no rows. Null and empty texts are copies of each other.
     """
-    kept = near_duplicates(docs.where("doc_id is not null"), width).where("kept").select(F.col("doc_id").alias("__doc")).distinct()
-    mine = docs.join(kept, docs["doc_id"] == F.col("__doc"), "left").where("__doc is not null or doc_id is null").drop("__doc")
-    once = [c for c in ("doc_id", "text") if c in docs.columns]
-    whole = mine.where("doc_id is null")
-    return mine.where("doc_id is not null").dropDuplicates(once).unionByName(whole)
+    (name,) = fresh(docs.columns, "__doc")
+    kept = near_duplicates(docs.where("doc_id is not null"), width).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    mine = docs.where("doc_id is not null").join(kept, docs["doc_id"] == F.col(name), "left_semi")
+    return mine.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
