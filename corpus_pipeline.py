@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import language, packing, secrets, simhash, spans
-from tidewright.llm.common import read_table, shared_dir
+from tidewright.llm.common import read_table, remove, shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,7 +23,8 @@ def _counted(docs: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a language go: null texts and texts without a letter."""
+    """Rows in no learned language go: null texts, texts without a letter, and those of whose n-grams the
+    landmarks know too few. Without labels to learn from, or a column lang, texts with a letter stay."""
     return language.keep_identified(docs)
 
 
@@ -63,9 +64,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each but the last is written to the shared folder and reread."""
+    """All stages over `documents`; each but the last is written to the shared folder and reread. A stage's
+    rows are deleted when the next one's are written: the last stage writes its pieces before it returns."""
     docs, base = read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, before)
+        before = f"{base}/{name}"
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, base)
+    return out
