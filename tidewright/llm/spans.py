@@ -26,7 +26,7 @@ from .common import Batches, fresh, map_batches, partitions, slices, written
 #: Sentences of a run, most words of a sentence without an end, and words of the least passage that goes.
 SENTENCES, LIMIT, LEAST_WORDS = 3, 8, 50
 #: Bits of the map of runs that come again, and of each of its parts. A full map only costs time.
-BITS, PART = 27, 21
+BITS, PART = 26, 21
 #: A span of more than this share of all spans has its rows dealt over all partitions; there are at most 1 / HOT.
 HOT = 1e-4
 LOW = (1 << 32) - 1
@@ -175,7 +175,7 @@ def _later(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _counted_runs(batches: Batches) -> Batches:
-    for b in slices(batches, 1000, 0, 1 << 20):
+    for b in slices(batches, 1000, 0, 1 << 19):
         c = cut(*b.column(0).to_pylist())
         first = c.starts[: max(0, len(c.starts) - SENTENCES)]
         whole = c.starts[SENTENCES:] <= np.repeat(c.docs[1:], np.diff(c.docs))[first]  # of one text
@@ -206,7 +206,7 @@ def _set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _likely_spans(words: int, shared):
     def f(batches: Batches) -> Batches:
-        for b in slices(batches, 1000, 1, 1 << 20):
+        for b in slices(batches, 1000, 1, 1 << 19):
             c = cut(*b.column(1).to_pylist())
             at = likely(c, _set(shared.value, runs(c)), words)
             h, i = spans(c, words, at), np.searchsorted(c.docs, at, "right") - 1  # of texts without words, none begins there
