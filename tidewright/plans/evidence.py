@@ -66,14 +66,15 @@ def column_mapping(counts: DataFrame, least: int = 20) -> DataFrame:
     return every.join(F.broadcast(many), "column")
 
 
-def embedded_alerts(df: DataFrame, plan: dict, looked: int | None = 400) -> DataFrame:
+def embedded_alerts(df: DataFrame, plan: dict, looked: int | None = 400, whole: bool = False) -> DataFrame:
     """(column, pii_type, count, example): cards and SSNs inside the first `looked` cells, or with None
-    all cells, of columns that the plan hasn't typed as personal data; the example is masked."""
+    all cells, of columns that the plan hasn't typed as personal data; the example is masked. `whole`
+    is that of `pii.embedded`."""
     typed = {c["name"] for c in plan.get("columns", []) if any("pii" in o["op"] for o in c["operations"])}
     names = [c for c in data_columns(df) if c not in typed]
     df = with_row_id(df) if looked is None else with_row_id(df).orderBy("_rid").limit(looked)
     found = df.select("_rid", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell")) for c in names))))
-    hits = found.select("_rid", "column", F.posexplode(pii.embedded(F.col("cell"))).alias("pos", "x"))
+    hits = found.select("_rid", "column", F.posexplode(pii.embedded(F.col("cell"), whole)).alias("pos", "x"))
     by = hits.groupBy("column", F.col("x.pii_type").alias("pii_type")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_rid", "pos", "x.span")).alias("first"))
     top = by.groupBy("column").agg(F.sum("n").alias("count"), F.max(F.struct("n", F.col("pii_type") == "credit_card", "pii_type")).alias("m"), F.min("first").alias("first"))
     return top.select("column", F.col("m.pii_type").alias("pii_type"), "count", pii.mask(F.col("first.span")).alias("example"))
