@@ -21,7 +21,7 @@ def same_as_sql(spark, entry, sf, query):  # noqa: F811
 NUMBERS = ["call 555-1019 4111111111131105 now", "12345678901234567857 5", "5 123-45-6789", "123-45-6789 7 and 078-05-1120", "pay 4111 1111 1111 1111.", "1" * 30000, "1 2-" * 9999, None]
 
 
-@pytest.mark.parametrize("query", ["embedded_alerts", "embedded_cards"])
+@pytest.mark.parametrize("query", ["embedded_alerts", "embedded_cards", "embedded_pii_alerts"])
 def test_numbers_in_texts(spark, entry, tmp_path, query):  # noqa: F811
     texts = " UNION ALL ".join(f"SELECT {i} AS doc_id, {'NULL' if x is None else repr(x)} AS text, 'en' AS lang, 'web' AS source" for i, x in enumerate(NUMBERS))
     duckdb.sql(f"COPY ({texts}) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
