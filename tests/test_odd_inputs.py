@@ -26,3 +26,9 @@ def test_numbers_in_texts(spark, entry, tmp_path, query):  # noqa: F811
     texts = " UNION ALL ".join(f"SELECT {i} AS doc_id, {'NULL' if x is None else repr(x)} AS text, 'en' AS lang, 'web' AS source" for i, x in enumerate(NUMBERS))
     duckdb.sql(f"COPY ({texts}) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
     assert same_as_sql(spark, entry, tmp_path, query)
+
+
+def test_orders_with_equal_cells_stay(spark, entry, tmp_path):  # noqa: F811
+    orders = "SELECT (o_orderkey + k * 150000)::BIGINT AS o_orderkey, o.* EXCLUDE (o_orderkey) FROM '/root/testdata/sf0.001/orders.parquet' o, range(3) r(k)"
+    duckdb.sql(f"COPY ({orders}) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    assert len(same_as_sql(spark, entry, tmp_path, "cleaned_table")) == 4500
